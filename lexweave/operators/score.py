@@ -77,7 +77,7 @@ def sod_pairs(lexicon: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
 
 
 def sod_trace(lexicon: DataFrame, a: Column, b: Column) -> DataFrame:
-    """The levels of the pairs whose words are a and b: (corpus, a, b, side, lvl, w, cnt, cancelled_at); cancelled_at is null if never."""
+    """The levels of the pairs (idx1, idx2, a, b) for which both conditions hold: (corpus, a, b, side, lvl, w, cnt, cancelled_at); cancelled_at is null if never."""
     pairs = word_pairs(lexicon).where(a & b)
     edges, seeds = edges_of(lexicon), seeds_of(lexicon)
     dist = written(distances(seeds, edges), "dist")

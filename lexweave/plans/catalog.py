@@ -203,8 +203,7 @@ def sod_pairs(spark, sf):
 )
 def sod_trace(spark, sf):
     lexicon = fx.lexicons(spark, sf).where("corpus = 'ground_filtered'")
-    a, b = (lexicon.where(F.col("idx") == k).first()["head"] for k in (1, 2))
-    return score.sod_trace(lexicon, F.col("a") == a, F.col("b") == b).withColumn("cancelled_at", F.coalesce("cancelled_at", F.lit(-1)))
+    return score.sod_trace(lexicon, F.col("idx1") == 1, F.col("idx2") == 2).withColumn("cancelled_at", F.coalesce("cancelled_at", F.lit(-1)))
 
 
 @query("SELECT prs.* FROM prs JOIN vocab v USING (corpus) WHERE v.idx = 1 AND (v.idx = idx1 OR v.idx = idx2)", True, ctes=_PAIRS)

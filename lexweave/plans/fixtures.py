@@ -1,7 +1,7 @@
 """Lexicons made from the relational tables, for queries that can be checked against SQL.
 
 A part's name is a word. Each line item links its part's word to the word of the part numbered like its supplier; a word's definition
-holds the words it is linked to clearly more often than to others (2 deviations over the mean of its links, twice from 3 on), commonest first; words with one link are not listed. The three
+holds the words it is linked to clearly more often than to others (2 deviations over the mean of its links, twice from 3 on), commonest first. The three
 return flags give three base lexicons, three variants are derived from the first, and each is closed over its own vocabulary.
 All rows of the tables count."""
 
@@ -37,7 +37,7 @@ def base_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     clear = cells.where((over > 0) & (over * over > 4 * spread)).withColumn("mult", F.when(over * over > 9 * spread, 2).otherwise(1))
     items_ = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "tok", "mult")))
     words = F.flatten(F.transform(items_, lambda x: F.array_repeat(x["tok"], x["mult"])))
-    defined = clear.groupBy("l_returnflag", "head", "line").agg(words.alias("definition")).where(F.size("definition") > 1)
+    defined = clear.groupBy("l_returnflag", "head", "line").agg(words.alias("definition"))
     corpus = F.when(F.col("l_returnflag") == "A", BASES["A"]).when(F.col("l_returnflag") == "N", BASES["N"]).otherwise(BASES["R"])
     return defined.select(corpus.alias("corpus"), F.row_number().over(Window.partitionBy("l_returnflag").orderBy("line", "head")).alias("idx"), "head", "definition")
 
@@ -85,7 +85,7 @@ clear AS (SELECT f, head, tok, c, sums.line, CASE WHEN (k * c - s) * (k * c - s)
   FROM cells JOIN sums USING (f, head) WHERE k * c > s AND (k * c - s) * (k * c - s) > 4 * (k * q - s * s)),
 base AS MATERIALIZED (SELECT CASE f WHEN 'A' THEN 'ground_filtered' WHEN 'N' THEN 'ai_generated' ELSE 'merriam_webster' END AS corpus,
   dense_rank() OVER (PARTITION BY f ORDER BY line, head) AS idx, head, row_number() OVER (PARTITION BY f, head ORDER BY c DESC, tok, rep) - 1 AS pos, tok
-  FROM (SELECT *, unnest(range(mult)) AS rep FROM clear JOIN (SELECT f, head FROM clear GROUP BY f, head HAVING sum(mult) > 1) USING (f, head))),
+  FROM (SELECT *, unnest(range(mult)) AS rep FROM clear)),
 g AS (SELECT * FROM base WHERE corpus = 'ground_filtered'),
 gv AS (SELECT head, row_number() OVER (ORDER BY idx) - 1 AS k FROM (SELECT DISTINCT head, idx FROM g)),
 nm AS (SELECT 'null_model' AS corpus, g.idx, g.head, pos, v.head AS tok FROM g JOIN gv v ON v.k = {rnd("null", "|| '|' || g.head || '|' || pos")} % (SELECT count(*) FROM gv)),
