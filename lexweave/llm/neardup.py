@@ -7,9 +7,10 @@
    signatures' bit counts, corrected for chance collisions, drop candidates far below the threshold; full sets
    confirm the others, and components follow.
 4. Whole job: a bucket whose members are in more than one component then compares the members outside its largest
-   component with all its members of other components, by the same filter and confirmation; pairs inside a component
-   cannot change the result.  So each candidate pair of the bands is decided or already joined, and no bucket is
-   capped or expanded into all pairs.
+   component with all its members of other components; pairs inside a component cannot change the result. The join
+   itself decides: after sizes and packed signatures, a pair is taken in its first common band only, and bounded from
+   above by the sets' 32-bit cells, so that what leaves the join is links and not candidates. So each candidate pair of
+   the bands is decided or already joined, and no bucket is capped or expanded into all pairs.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75 ** ROWS) ** BANDS = 2.4e-8.
 
@@ -38,6 +39,8 @@ PERCENT = 75
 LEAST_ESTIMATE = 0.75 - 6 * 0.053
 #: Values of a block in which minima are taken, which bounds memory on very long texts.
 BLOCK = 4096
+#: Cells that a row carries into the buckets, which bounds its size; larger sets go without and are left to the confirmation.
+MOST_CELLS = 65536
 _MASK = 2**64 - 1
 
 _rng = np.random.default_rng(20240229)
@@ -158,6 +161,35 @@ def estimate(a: str, b: str):
     return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
+CELLS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+
+
+def set_cells(docs: DataFrame) -> DataFrame:
+    """doc_id, n, cells of each row of doc_id, text that has shingles: the distinct 32-bit parts of its shingle hashes, null beyond MOST_CELLS."""
+
+    def make():
+        def batch(rows: dict) -> dict:
+            out: dict[str, list] = {f.name: [] for f in CELLS}
+            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+                hashes = shingles(text)
+                if hashes.size:
+                    cells = np.unique(hashes.astype(np.uint32)).view(np.int32) if hashes.size <= MOST_CELLS else None
+                    for column, value in zip(out.values(), (doc_id, hashes.size, cells), strict=True):
+                        column.append(value)
+            return out
+
+        return batch
+
+    return arrow_map(docs.select("doc_id", "text"), make, CELLS)
+
+
+def may_link(x: str, y: str):
+    """False only where the sets cannot link. Shared cells and the shingles that fell into another's cell bound the intersection from above."""
+    n_x, n_y, cells_x, cells_y = (F.col(f"{k}_{side}") for k in ("n", "cells") for side in (x, y))
+    both = F.size(F.array_intersect(cells_x, cells_y)) + F.least(n_x - F.size(cells_x), n_y - F.size(cells_y))
+    return cells_x.isNull() | cells_y.isNull() | ((100 + PERCENT) * both >= PERCENT * (n_x + n_y))
+
+
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -235,14 +267,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = stored(placed.join(mixed, "band", "left_semi"), "placed")
     main = placed.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", "count").alias("main"))
     outside = stored(placed.join(main, "band").where("c <> main"), "outside").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"), "main")
-    s = sigs.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sig_x"))
-    t = sigs.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sig_y"))
+    sets = stored(set_cells(docs.join(stored(placed.select("doc_id").distinct(), "wanted"), "doc_id", "left_semi")).dropDuplicates(["doc_id", "n", "cells"]), "cells")
+    full = heads.join(sets, ["doc_id", "n"])
+    s, t = (full.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "sig", "bands", "cells"))) for k in "xy")
     xs, ys = outside.join(s, "x"), placed.select("band", F.col("doc_id").alias("y"), F.col("c").alias("cy")).join(t, "y")
-    near = (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")) & (estimate("sig_x", "sig_y") >= LEAST_ESTIMATE)
+    near = (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y")) & (estimate("sig_x", "sig_y") >= LEAST_ESTIMATE)
     once = (F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))
-    across = stored(xs.join(ys, (xs["band"] == ys["band"]) & (F.col("cx") != F.col("cy")) & once & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
-    tried = screened(star)
-    more = stored(confirmed(across.join(tried, ["a", "b"], "left_anti")), "links")
+    first = F.array_intersect("bands_x", "bands_y")[0] == xs["band"]
+    across = xs.join(ys, (xs["band"] == ys["band"]) & (F.col("cx") != F.col("cy")) & once & near & first & may_link("x", "y"))
+    more = stored(confirmed(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "links")
     repeats = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     every = stored(links.unionByName(more).unionByName(repeats), "links")
     found = components(every)
