@@ -152,6 +152,13 @@ def test_b_bit_estimate_follows_similarity(spark):
     assert np.abs(np.array(got) - true).max() < 0.22
 
 
+def test_set_cells_bound_the_intersection_from_above(spark):
+    # x and y hold 6 and 7 shingles, of which two fall into one cell on either side; the exact overlap may reach what the bound allows.
+    rows = [(6, [1, 2, 3, 4, 5], 7, [1, 2, 3, 4, 5, 6]), (6, [1, 2, 3, 4, 5, 6], 7, [1, 2, 3, 11, 12, 13, 14]), (6, None, 7, [1]), (4, [1, 2, 3, 4], 4, [1, 2, 3, 9])]
+    frame = spark.createDataFrame(rows, "n_x long, cells_x array<int>, n_y long, cells_y array<int>")
+    assert [x[0] for x in frame.select(neardup.may_link("x", "y")).collect()] == [True, False, True, False]
+
+
 EXPRESSIONS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
