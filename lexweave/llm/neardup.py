@@ -10,7 +10,10 @@
    component with all its members of other components; pairs inside a component cannot change the result. The join
    itself decides: after sizes and packed signatures, a pair is taken in its first common band only, and bounded from
    above by the sets' 32-bit cells, so that what leaves the join is links and not candidates. So each candidate pair of
-   the bands is decided or already joined, and no bucket is capped or expanded into all pairs.
+   the bands is decided or already joined, and no bucket is capped.
+
+Known limit: inside that join the members outside a bucket's largest component are compared with its other members pair
+by pair. A bucket of documents that are alike but not linked costs the square of its size, though few rows leave the join.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75 ** ROWS) ** BANDS = 2.4e-8.
 
