@@ -88,10 +88,9 @@ def sod_trace(lexicon: DataFrame, a: Column, b: Column) -> DataFrame:
     return sides.join(counts, ["corpus", "seed"]).join(far, ["corpus", "other", "w"], "left").select("corpus", "a", "b", "side", "lvl", "w", F.col("cnt").cast("long").alias("cnt"), "cancelled_at")
 
 
-def common_vocabulary(lexicon: DataFrame) -> DataFrame:
-    """(master_idx, word): words that head a definition in every corpus, sorted, from 0."""
-    n = lexicon.select("corpus").distinct().count()
-    words = lexicon.groupBy("head").agg(F.countDistinct("corpus").alias("n")).where(F.col("n") == n).select(F.col("head").alias("word"))
+def common_vocabulary(lexicon: DataFrame, corpora: int) -> DataFrame:
+    """(master_idx, word): words that head a definition in every one of so many corpora, sorted, from 0; none if a corpus has no rows."""
+    words = lexicon.groupBy("head").agg(F.countDistinct("corpus").alias("n")).where(F.col("n") == corpora).select(F.col("head").alias("word"))
     return words.select((F.row_number().over(Window.orderBy("word")) - 1).cast("int").alias("master_idx"), "word")
 
 

@@ -79,7 +79,7 @@ def common_vocabulary(spark, sf):
 
 
 def _common(spark, sf):
-    return fx._once("common", spark, sf, lambda: score.common_vocabulary(fx.lexicons(spark, sf)))
+    return fx._once("common", spark, sf, lambda: score.common_vocabulary(fx.lexicons(spark, sf), len(fx.CORPORA)))
 
 
 @query("SELECT DISTINCT corpus, word FROM (SELECT corpus, head AS word FROM t0 UNION ALL SELECT corpus, tok FROM t0) WHERE regexp_full_match(word, '\\p{L}{2,}')", raw=True)

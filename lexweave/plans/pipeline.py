@@ -37,7 +37,7 @@ class Workspace:
 
     def curate(self, raw: DataFrame) -> DataFrame:
         self.keep("lexicon", lambda: curate.reindexed(curate.self_contained(raw)))
-        self.keep("common", lambda: score.common_vocabulary(self.table("lexicon")))
+        self.keep("common", lambda: score.common_vocabulary(self.table("lexicon"), raw.select("corpus").distinct().count()))
         return self.table("lexicon")
 
     def run_od(self) -> DataFrame:

@@ -94,6 +94,13 @@ def test_prune_drops_dangling_and_is_idempotent(spark):
     assert {r["head"] for r in curate.removed_headwords(lex).collect()} == {"d", "f"}
 
 
+def test_a_corpus_that_closes_to_nothing_shares_no_word(spark):
+    raw = frame(spark, {"c": {"a": ["b"], "b": ["a"]}, "d": {"a": ["b"], "b": ["a"]}, "e": {"a": ["x"]}})
+    closed = curate.self_contained(raw)
+    assert score.common_vocabulary(closed, 3).count() == 0
+    assert [(r.master_idx, r.word) for r in score.common_vocabulary(closed, 2).orderBy("master_idx").collect()] == [(0, "a"), (1, "b")]
+
+
 def test_parse_keeps_first_place_and_last_definition(spark):
     lines = [(1, "  B : x  y "), (2, "no colon"), (3, "a: b: c"), (4, ""), (5, "b: z"), (6, "e:")]
     got = source.parse_lexicon(spark.createDataFrame([("c", *x) for x in lines], "corpus string, line_no long, line string")).orderBy("idx").collect()
