@@ -6,9 +6,9 @@ code points, summed from the lengths of the matches and of the text between them
 Contextual: base spans are the seeds.  The one and the two words before a span are its lexical patterns (of its kind).
 Strings of a looser shape that no base span touches are candidates, with the same patterns.  Over the graph of patterns and
 instances, ROUNDS times: a pattern's confidence is the summed score of the occurrences it introduces over all occurrences of
-its words (in documents with a digit or an at sign), if it introduces LEAST_SEEDS distinct seed values at least; a candidate
+its words in all documents, if it introduces LEAST_SEEDS distinct seed values at least; a candidate
 value's score is 1 - product of (1 - confidence) over its patterns.  Candidates scoring LEAST_SCORE at least become spans.
-Counts are over all such documents; patterns and values are joined by key, never broadcast by hand or collected.
+Counts are over all documents; patterns and values are joined by key, never broadcast by hand or collected.
 
 Defined cases: null text is the empty text, with no spans; repeated rows are found each for itself; ties cannot arise, as
 spans are ordered by kind, start and end; an empty table gives no rows; extra columns are not read.
@@ -117,7 +117,7 @@ def contextual(docs: DataFrame, found: DataFrame) -> DataFrame:
     able = edges.where("seed").groupBy("kind", "cue").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("kind", "cue")
     able = stored(able, "patterns")
     words = F.filter(F.split(F.lower(F.col("text")), r"\s+"), lambda w: w != "")
-    said = docs.where(F.col("text").rlike(MARKED)).select(words.alias("w"))
+    said = docs.select(words.alias("w"))
     said = said.select(F.explode(F.concat("w", F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>")))).alias("cue"))
     total = said.join(able.select("cue").distinct(), "cue", "left_semi").groupBy("cue").agg(F.count("*").alias("total"))
     patterns = able.join(total, "cue")

@@ -198,6 +198,17 @@ def test_pii_contexts_find_more_and_mask(spark):
     assert masked[0].text == "text number a call hotline: [PHONE] now" and masked[0].email == "en"
 
 
+def phones(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {x.doc_id: x.spans for x in pii.report(pii.personal_data(frame)).collect()}
+
+
+def test_pii_counts_words_in_documents_without_digits(spark):
+    seeds = [f"{w} please call +1 (31{k}) 555-010{k} now" for k, w in enumerate("abcdefgh")]
+    assert phones(spark, [*seeds, "x please call 312 555 9876 now"])[8] == "phone:14:26"
+    assert phones(spark, [*seeds, "x please call 312 555 9876 now", *["please call the office"] * 40])[8] == ""
+
+
 def test_quality_learns_from_positives(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choices("abcdefgh", k=r.randint(1, 8)))
