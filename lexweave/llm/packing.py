@@ -69,10 +69,13 @@ def place(histogram: dict[int, int], size: int) -> tuple[list[tuple[int, int, in
         while left:
             while room >= length and not by_room[room]:
                 room -= 1
-            if room < length:  # fits nowhere: open a pack for each that is left
-                placements.append((length, rank, packs, 0))
-                by_room[size - length].append([packs, left])
-                packs, rank, left = packs + left, rank + left, 0
+            if room < length:  # fits nowhere: open packs, each filled with this length before the next, the last with what is left over
+                for many, each in ((left // (size // length), size // length), (1, left % (size // length))):
+                    if many and each:
+                        placements += [(length, rank + k * many, packs, k * length) for k in range(each)]
+                        by_room[size - each * length].append([packs, many])
+                        packs, rank = packs + many, rank + many * each
+                left = 0
                 continue
             group = by_room[room][-1]
             taken = min(left, group[1])

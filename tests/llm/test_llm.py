@@ -65,6 +65,21 @@ def test_shortest_pack_first_places_all():
     assert sum(sorted(used)[:2]) > 100  # a pack is opened only when what is placed fits in no other
 
 
+def test_new_packs_are_filled_with_one_length():
+    r = random.Random(5)
+    assert packing.place({100: 1000}, 1024)[1] == 100
+    for copies in (1, 40, 100, 300, 511):
+        histogram = {n: r.randint(1, 40) for n in range(150, 700)}
+        histogram[copies] = histogram.get(copies, 0) + sum(histogram.values()) // 2
+        placements, packs = packing.place(histogram, 1024)
+        used = np.zeros(packs, dtype=int)
+        for k, (length, rank, pack, offset) in enumerate(placements):
+            end = placements[k + 1][1] if k + 1 < len(placements) and placements[k + 1][0] == length else histogram[length]
+            assert end > rank and (used[pack : pack + end - rank] == offset).all()
+            used[pack : pack + end - rank] += length
+        assert used.max() <= 1024 and used.sum() == sum(n * c for n, c in histogram.items()) > 0.93 * 1024 * packs
+
+
 def test_token_files_round_trip(spark, docs, monkeypatch):
     monkeypatch.setattr(tokenfiles, "SHARD_DOCS", 4)
     folder = new_folder(spark, "test")
@@ -200,7 +215,8 @@ def test_pii_contexts_find_more_and_mask(spark):
 
 def phones(spark, texts):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {x.doc_id: x.spans for x in pii.report(pii.personal_data(frame)).collect()}
+    found = {x.doc_id: x.spans for x in pii.report(pii.personal_data(frame)).collect()}
+    return [found[k] for k in range(len(texts))]
 
 
 def test_pii_counts_words_in_documents_without_digits(spark):
