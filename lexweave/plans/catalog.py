@@ -379,7 +379,7 @@ def _steps(spark, sf):
         sym = _sym(spark, sf)
         bins = index.spectrum(sym)
         ranked = sym.join(index.percentile_rank(sym).select("corpus", "w", "partner", "pctl"), ["corpus", "w", "partner"], "left")
-        return dynamics.walk(dynamics.start_pairs(index.mutual_pairs(bins), 2), bins, ranked, max_steps=10)
+        return dynamics.walk(dynamics.start_pairs(index.mutual_pairs(bins), 100), bins, ranked, max_steps=100)
 
     return fx._once("steps", spark, sf, make)
 

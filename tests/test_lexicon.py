@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 from collections import Counter
+from unittest.mock import MagicMock
 
 import duckdb
 import pytest
@@ -137,6 +138,18 @@ def test_walks_keep_their_rules(spark):
     assert steps.where("step > 4 AND variant = 'chain'").count() == 0
 
 
+def test_registered_walks_are_the_whole_job(monkeypatch):
+    asked = {}
+    for f in ("spectrum", "mutual_pairs", "percentile_rank"):
+        monkeypatch.setattr(catalog.index, f, MagicMock())
+    monkeypatch.setattr(catalog, "_sym", MagicMock())
+    monkeypatch.setattr(catalog.fx, "_once", lambda name, spark, sf, make: make())
+    monkeypatch.setattr(catalog.dynamics, "start_pairs", lambda mutual, trajectories: asked.update(trajectories=trajectories))
+    monkeypatch.setattr(catalog.dynamics, "walk", lambda starts, bins, ranked, max_steps=100: asked.update(max_steps=max_steps))
+    catalog._steps(None, SF)
+    assert asked == {"trajectories": 100, "max_steps": 100}
+
+
 def test_empty_tables(spark):
     none = frame(spark, {"c": {"a": ["b"]}}).where("false")
     assert score.sod_pairs(none).count() == 0 and score.single_god(none).count() == 0 and curate.self_contained(none).count() == 0
