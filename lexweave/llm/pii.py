@@ -6,7 +6,7 @@ code points, summed from the lengths of the matches and of the text between them
 Contextual: base spans are the seeds.  The one and the two words before a span are its lexical patterns (of its kind).
 Strings of a looser shape that no base span touches are candidates, with the same patterns.  Over the graph of patterns and
 instances, ROUNDS times: a pattern's confidence is the summed score of the occurrences it introduces over all occurrences of
-its words in all documents, if it introduces LEAST_SEEDS distinct seed values at least; a candidate
+its words in all documents (as words or as the start of one, where a value may follow), if it introduces LEAST_SEEDS distinct seed values at least; a candidate
 value's score is 1 - product of (1 - confidence) over its patterns.  Candidates scoring LEAST_SCORE at least become spans.
 Counts are over all documents; patterns and values are joined by key, never broadcast by hand or collected.
 
@@ -43,6 +43,8 @@ LOOSE = {
 _HINT = {"email": "instr({t}, '@') > 0", "ip": r"{t} RLIKE '[0-9][.][0-9]'", "card": r"{t} RLIKE '[0-9][\\x20-]?[0-9]'", "phone": r"{t} RLIKE '[+][0-9]'"}
 #: Documents in which a seed or candidate can be.
 MARKED = r"[0-9@]|[(\[{]at[)\]}]"
+#: Positions inside a word where a value may start: a run of digits or of an address's characters, a sign or bracket before a digit, groups of an IP.
+_INSIDE = r"(?<=[^0-9\s])(?=[0-9])|(?<=\S)(?=[+(][0-9])|(?<=[^A-Za-z0-9._%+\s-])(?=[A-Za-z0-9._%+-])|(?<=[^0-9A-Fa-f:.\s])(?=[0-9A-Fa-f]{0,4}:)"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -110,18 +112,29 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "h", *plain, F.concat(with_cues(known, True), with_cues(free, False)).alias("seen"))
 
 
+def _said_cues(docs: DataFrame) -> DataFrame:
+    """All occurrences of what _cues can give: each word and each start of it that a value may follow, alone and after the word before it."""
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    pairs = docs.select(w.alias("w")).select(F.explode(F.zip_with(F.concat(F.array(F.lit(None).cast("string")), "w"), "w", lambda a, b: F.struct(a.alias("last"), b.alias("word")))).alias("p")).select("p.*").where("word IS NOT NULL")
+    parts = F.split(F.substring("word", 1, 46), _INSIDE, -1)
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ""))
+    starts = F.when(F.col("word").rlike(_INSIDE), F.filter(starts, lambda x: (x != "") & (F.length(x) <= 40))).otherwise(F.array().cast("array<string>"))
+    said = pairs.select("last", F.explode(F.concat(F.array("word"), starts)).alias("one"))
+    return said.select(F.explode(F.array_compact(F.array("one", F.concat("last", F.lit(" "), "one")))).alias("cue")).select(F.lower("cue").alias("cue"))
+
+
 def contextual(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, h, kind, start, end of the candidates that the graph accepts."""
     seen = found.where(F.size("seen") > 0).select("doc_id", "h", F.explode("seen").alias("s")).select("doc_id", "h", "s.*")
     edges = stored(seen.select("kind", "value", "seed", F.explode("cues").alias("cue")), "edges")
     able = edges.where("seed").groupBy("kind", "cue").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("kind", "cue")
     able = stored(able, "patterns")
-    words = F.filter(F.split(F.lower(F.col("text")), r"\s+"), lambda w: w != "")
-    said = docs.select(words.alias("w"))
-    said = said.select(F.explode(F.concat("w", F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>")))).alias("cue"))
-    total = said.join(able.select("cue").distinct(), "cue", "left_semi").groupBy("cue").agg(F.count("*").alias("total"))
-    patterns = able.join(total, "cue")
+    total = _said_cues(docs).join(able.select("cue").distinct(), "cue", "left_semi").groupBy("cue").agg(F.count("*").alias("total"))
+    patterns = able.join(total, "cue", "left")
     graph = stored(edges.join(patterns, ["kind", "cue"]).groupBy("kind", "cue", "value", "seed", "total").agg(F.count("*").alias("n")), "graph")
+    # a value that starts where _INSIDE does not look (after another match) is an occurrence too
+    introduced = graph.groupBy("kind", "cue").agg(F.sum("n").alias("least"))
+    graph = stored(graph.join(introduced, ["kind", "cue"]).withColumn("total", F.greatest("total", "least")).drop("least"), "graph")
     scores = None
     for _ in range(ROUNDS):
         scored = graph.withColumn("score", F.col("seed").cast("double")) if scores is None else graph.join(scores, ["kind", "value"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))

@@ -225,6 +225,21 @@ def test_pii_counts_words_in_documents_without_digits(spark):
     assert phones(spark, [*seeds, "x please call 312 555 9876 now", *["please call the office"] * 40])[8] == ""
 
 
+def test_pii_contexts_that_touch_their_value(spark):
+    seeds = [f"{w} reach tel:+1 (31{k}) 555-010{k} now" for k, w in enumerate("abcdefgh")]
+    assert phones(spark, [*seeds, "my tel:312 555 9876 now", 'say "312-555-9876" now'])[8:] == ["phone:7:19", ""]
+    assert phones(spark, [*seeds, "my tel:312 555 9876 now", *["my tel:none yet"] * 40])[8] == ""
+    quoted = [f'{w} say "+1 (31{k}) 555-010{k}" now' for k, w in enumerate("abcdefgh")]
+    assert phones(spark, [*quoted, 'x say "312-555-9876" now'])[8] == "phone:7:19"
+
+
+def test_pii_counts_what_the_contexts_give(spark):
+    text = 'Call tel:+1 (312) 555-0100 or ip=10.0.0.1, "312-555-9876" <a@b.c> x(1) v=fe80::1'
+    cues = {x.cue for x in pii._said_cues(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()}
+    seen = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.explode("seen").alias("s")).select(F.explode("s.cues").alias("cue")).collect()
+    assert {"tel:", "call tel:", "ip=", 'ip=10.0.0.1, "', "<", "v="} <= {x.cue for x in seen} and {x.cue for x in seen} <= cues
+
+
 def test_quality_learns_from_positives(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choices("abcdefgh", k=r.randint(1, 8)))
