@@ -65,7 +65,8 @@ class _Memo(dict):
 class ByteBpe:
     """encode(text) gives a text's ids as little-endian unsigned 32-bit integers in bytes.
 
-    None and the empty text give no ids. Strings of special tokens within a text are ordinary text.
+    None and the empty text give no ids. A text that holds the string of an added token goes to the library whole, so
+    such strings become what the file says of them.
     """
 
     def __init__(self, path: str):
@@ -74,7 +75,8 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
         self.tokenize = self.tokenizer.model.tokenize
         self.alphabet = byte_alphabet()
         self.blank = self.alphabet[32]
@@ -101,6 +103,8 @@ class ByteBpe:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.added(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
         if not first and rest:
             first, *rest = f" {rest[0]}", *rest[1:]

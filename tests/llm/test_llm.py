@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -24,14 +25,24 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string, seq string")
 
 
+@lru_cache(maxsize=1)
+def plain_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def library(text):
-    return bytebpe.encoder().tokenizer.encode(text or "", add_special_tokens=False).ids
+    return plain_tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_byte_bpe_equals_library():
     r = random.Random(2)
     alphabet = "abc theinr  \n\t.,!'0123é日 　"
-    for text in [*TEXTS, *("".join(r.choices(alphabet, k=r.randint(1, 80))) for _ in range(1500))]:
+    assert library("x <|endoftext|> y") == [87, 220, 50256, 331]
+    marked = ("".join(r.choices([*alphabet, "<|endoftext|>"], k=r.randint(1, 40))) for _ in range(500))
+    for text in [*TEXTS, *marked, *("".join(r.choices(alphabet, k=r.randint(1, 80))) for _ in range(1500))]:
         assert np.frombuffer(bytebpe.encoder().encode(text), "<u4").tolist() == library(text)
 
 
@@ -291,19 +302,47 @@ def test_main_text_on_unseen_pages():
     assert maintext.extract([page], model) == ["A & B Onetwo three. Four."]
 
 
-def test_top_k_equals_brute_force(spark):
+def brute_top(rows, k):
+    vectors = [(i, v, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for at, (q, _, a) in enumerate(vectors):
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for n, (i, _, b) in enumerate(vectors) if n != at and len(b) == len(a))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def found_top(spark, rows, k):
+    frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, v int, cid int")
+    return sorted(tuple(x) for x in topk.top_k(topk.whole_vectors(frame), F.col("vec_id") % 20 == 0, k).collect())
+
+
+def test_top_k_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 100)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 10)
     r = np.random.default_rng(5)
-    rows = [(k, [float(x) for x in r.normal(0, 0.3, 12).astype("f4")], 1) for k in range(400)] + [(400 + k, [0.5] * 12, 1) for k in range(60)]
-    rows += [(900, None, 1), (None, [0.1] * 12, 1), (901, [float("nan")] * 12, 1), (902, [None] * 12, 1), (20, [float(x) for x in [9.0] * 12], 1), (903, [1.0] * 3, 1)]
-    got = topk.top_k(topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int")), F.col("vec_id") % 20 == 0, 7).collect()
-    vectors = {}
-    for k, v, _ in rows:
-        if k is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            ints = [int(np.floor(64 * float(np.float32(x)))) for x in v]
-            vectors[k] = min(vectors.get(k, ints), ints)
-    for q in (k for k in vectors if k % 20 == 0):
-        want = sorted(((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), k) for k, v in vectors.items() if k != q and len(v) == len(vectors[q])))[:7]
-        assert [(-x.score, x.vec_id) for x in sorted((x for x in got if x.query_id == q), key=lambda x: x["rank"])] == want
+    rows = [(k, [float(x) for x in r.normal(0, 0.3, 12).astype("f4")]) for k in range(400)] + [(400 + k, [0.5] * 12) for k in range(60)]
+    rows += [(900, None), (None, [0.1] * 12), (901, [float("nan")] * 12), (902, [None] * 12), (20, [9.0] * 12), (903, [1.0] * 3), (920, [1.0] * 3)]
+    rows += [(40, [0.25] * 12), (40, [0.25] * 12), (904, [2.0**21] * 12), (905, [-(2.0**21)] * 12), (906, []), (940, [])]
+    assert found_top(spark, rows, 7) == brute_top(rows, 7)
+    assert found_top(spark, rows[:0], 7) == [] and found_top(spark, [(0, [1.0])], 7) == []
+
+
+def test_top_k_with_a_score_beyond_64_bits_says_so(spark):
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        found_top(spark, [(0, [2.0**40]), (1, [2.0**40])], 3)
+    with pytest.raises(Exception, match="too large"):
+        found_top(spark, [(0, [2.0**90]), (1, [2.0**40])], 3)
+
+
+def test_bounds_of_cells_hold_scores():
+    r = np.random.default_rng(2)
+    v = r.integers(-(2**40), 2**40, (300, 9)) >> r.integers(0, 40, (300, 1))
+    shift, cells = zip(*map(topk.approximate, v), strict=True)
+    near = np.frombuffer(b"".join(cells), np.int8).reshape(v.shape)
+    for row, column, lower, upper in topk.scan(v[:50], near, np.array(shift), 300):
+        exact = [sum(map(int.__mul__, v[a].tolist(), v[b].tolist())) for a, b in zip(row, column, strict=True)]
+        assert len(row) == 50 * 300 and all(a <= x <= b for a, x, b in zip(lower, exact, upper, strict=True))
 
 
 def test_snapshots_collapse(spark):
