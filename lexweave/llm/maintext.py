@@ -8,8 +8,9 @@ probable labelling in which nothing is kept inside a dropped node.
 The trees are fitted on pages that training_pages() makes from templates of many layouts with random words, as no labelled pages
 exist; the fit is deterministic and takes a few seconds on the driver.
 
-Defined cases: null and empty html give the empty text; broken markup is read as far as it goes (a missing end tag ends with its
-parent, "<" that starts no tag is text); repeated rows and ties do not matter; an empty table gives no rows; extra columns are
+Defined cases: null and empty html give the empty text; broken markup is read as far as it goes (an element without end tag
+ends with its parent, an open head at the first tag or text of the body, script and the like at the end of the page; "<" that
+starts no tag is text); reading takes time in proportion to the page; repeated rows and ties do not matter; an empty table gives no rows; extra columns are
 not read.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 from functools import lru_cache
 from html import unescape
 
@@ -31,11 +33,17 @@ _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "canvas", "head", "button", "math", "audio", "video", "title")}
+#: Elements whose text is no markup, up to their end tag or the page's end; in DROPPED ones markup counts and text does not.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+DROPPED = frozenset("button select template noscript svg canvas audio video object".split())
+IN_HEAD = frozenset("title meta link style script base noscript template".split())
+_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | DROPPED}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html body div p section article main nav header footer aside ul ol li dl dt dd table tbody thead tfoot tr td th caption h1 h2 h3 h4 h5 h6 form fieldset legend blockquote pre figure figcaption address details summary dialog menu center hr".split())
 #: An open element of the second kind ends where one of the first kind starts.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody"), "option": ("option",)}
+#: An implied end tag reaches no further out than these.
+_SCOPE = ("ul", "ol", "dl", "table", "menu", "div", "section", "article")
 TAG_GROUPS = (("p",), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd"), ("ul", "ol", "dl", "menu"), ("div", "center"), ("article", "main"), ("section",), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "legend", "dialog"), ("table", "tbody", "thead", "tr", "td", "th", "tfoot", "caption"), ("blockquote", "pre"), ("figure", "figcaption"), ("address", "details", "summary"), ("body", "html"))
 _GROUP = {t: k for k, ts in enumerate(TAG_GROUPS) for t in ts}
 TOKENS = (
@@ -59,69 +67,92 @@ class Page:
         self._read(html or "")
 
     def _read(self, html: str) -> None:
+        """One pass over the markup; for each open element's tag its places on the stack are kept, so nothing is searched for."""
         stack = [("html", 0)]  # open elements, inline ones with their block's node
-        links, at, order = 0, 0, 0
+        places: dict[str, list[int]] = defaultdict(list)  # of open elements but the root
+        blocks: list[int] = []
+        links, dropped, at, order, head = 0, 0, 0, 0, False
+        end = html.rfind(">") + 1  # no tag ends behind it
+
+        def close(place: int) -> None:
+            nonlocal links, dropped
+            while len(stack) > place:
+                tag, _ = stack.pop()
+                places[tag].pop()
+                links -= tag == "a"
+                dropped -= tag in DROPPED
+                if tag in BLOCKS:
+                    blocks.pop()
+
+        def put(text: str, linked: bool = False) -> None:
+            nonlocal order
+            self.own[stack[-1][1]].append((order, text, linked))
+            order += 1
+
+        last = {}  # where the last end tag of an element with text of no use is
+
+        def ends(tag: str) -> int:
+            if tag not in last:
+                last[tag] = max((m.start() for m in _END[tag].finditer(html)), default=-1)
+            return last[tag]
+
         while True:
-            m = _MARKUP.search(html, at)
-            text = html[at : m.start() if m else len(html)]
+            m = _MARKUP.search(html, at, end)
+            text = html[at : m.start()] if m else html[at:].partition("<!--")[0]
             if text:
-                self.own[stack[-1][1]].append((order, unescape(text) if "&" in text else text, links > 0))
-                order += 1
-            if not m:
+                head = head and text.isspace()
+                if not dropped and not head:
+                    put(unescape(text) if "&" in text else text, links > 0)
+            if not m or m[0].startswith("<!--") and not m[0].endswith("-->"):
                 return
             at = m.end()
             name = m[2] or m[5]
             if not name:
                 continue
             tag, closing, attributes = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
+            block = tag in BLOCKS
             if closing:
-                if tag == "p" and all(t != "p" for t, _ in stack):
+                if tag == "head":
+                    head = False
+                if tag == "p" and not places["p"]:
                     continue
-                block = tag in BLOCKS
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    if not block and stack[k][0] in BLOCKS:
-                        break
+                if places[tag] and (block or not blocks or places[tag][-1] > blocks[-1]):
+                    close(places[tag][-1])
                 if block:
-                    self.own[stack[-1][1]].append((order, " ", False))
-                    order += 1
+                    put(" ")
+                continue
+            if tag == "head":
+                head = True
                 continue
-            if tag in _END and not attributes.endswith("/"):
-                end = _END[tag].search(html, at)
-                at = end.end() if end else len(html)
-                if tag == "head" and not end:
-                    body = re.compile(r"<body", re.I).search(html, m.end())
-                    at = body.start() if body else len(html)
+            head = head and tag in IN_HEAD
+            if tag in RAW and not attributes.endswith("/"):
+                found = _END[tag].search(html, at) if ends(tag) >= at else None
+                at = found.end() if found else len(html)
                 continue
             if tag in VOID:
-                self.own[stack[-1][1]].append((order, " " if tag in {"br", "hr"} else "", False))
-                order += 1
+                if tag in {"br", "hr"}:
+                    put(" ")
                 continue
-            if tag not in BLOCKS:
+            if not block:
                 if not attributes.endswith("/"):
+                    if tag in DROPPED:
+                        if ends(tag) < at:
+                            continue  # no end tag follows: what comes next is not within it
+                        if places[tag] and (not blocks or places[tag][-1] > blocks[-1]):
+                            close(places[tag][-1])
+                        dropped += 1
+                    places[tag].append(len(stack))
                     stack.append((tag, stack[-1][1]))
                     links += tag == "a"
                 continue
-            if tag in {"html", "body"} and any(t == tag for t, _ in stack[1:]):
+            if tag in {"html", "body"} and places[tag]:
                 continue
-            if tag not in {"tr", "td", "th", "tbody", "thead", "li", "dt", "dd"}:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in _CLOSES.get(tag, ()):
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in {"ul", "ol", "dl", "table", "menu"} or stack[k][0] in {"div", "section", "article"}:
-                    break
+            if tag not in {"tr", "td", "th", "tbody", "thead", "li", "dt", "dd"} and blocks and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
+            if tag in _CLOSES:
+                open_ = max((places[t][-1] for t in _CLOSES[tag] if places[t]), default=-1)
+                if open_ > max((places[t][-1] for t in _SCOPE if places[t]), default=0):
+                    close(open_)
             kinds = 0
             if attributes:
                 for a in _ATTRIBUTE.findall(attributes):
@@ -130,12 +161,14 @@ class Page:
                         kinds |= 0 if k is None else 1 << k
                 kinds |= 1 << len(TOKENS) if _HIDDEN.search(attributes) else 0
             parent = stack[-1][1]
-            self.own[parent].append((order, " ", False))
+            put(" ")
             self.tags.append(tag)
             self.kinds.append(kinds)
             self.parents.append(parent)
-            self.own.append([(order + 1, " ", False)])
-            order += 2
+            self.own.append([(order, " ", False)])
+            order += 1
+            blocks.append(len(stack))
+            places[tag].append(len(stack))
             stack.append((tag, len(self.tags) - 1))
 
     def text(self, kept: list[bool]) -> str:
