@@ -6,8 +6,8 @@ positives from unlabelled texts; on a part kept apart, the best bin of its score
 on the ratio of unlabelled to positive rows above a score) gives the class prior.  A second network then minimises the
 non-negative unbiased risk: a batch whose estimated risk of negatives is below zero is pushed back instead.
 
-At most POSITIVES and UNLABELLED rows, those with the smallest hash of doc_id, are gathered for the fit, whatever the corpus;
-every row is scored.
+At most POSITIVES and UNLABELLED ids, those with the smallest hash of doc_id, are gathered for the fit, whatever the corpus,
+with one row of features each (of rows that repeat an id, the smallest); every row is scored.
 
 Defined cases: null and empty texts have the features of an empty text and get a score; a null doc_id is not held out
 (crc32 of null is null) and serves no fit; repeated rows get the same score; with fewer than LEAST positives or unlabelled rows
@@ -50,9 +50,9 @@ def features(text: str | None) -> np.ndarray:
     extremes = []
     if raw.size:
         size = min(WINDOW, raw.size)
-        whole = kinds[: raw.size - raw.size % size].reshape(-1, size)
+        whole, last = kinds[: raw.size - raw.size % size].reshape(-1, size), kinds[-size:]  # the last one ends with the text
         for k in _WATCHED:
-            per = (whole == k).sum(axis=1) / size
+            per = np.append((whole == k).sum(axis=1), (last == k).sum()) / size
             extremes += [per.max(), per.mean() - per.min()]
     else:
         extremes = [0.0] * (2 * len(_WATCHED))
@@ -159,7 +159,7 @@ def probability(model: dict | None, rows: np.ndarray) -> np.ndarray:
     return np.round(_sigmoid(total / len(model["nets"])), 9)  # a row's last bits depend on the batch it is in
 
 
-FEATURES = T.StructType([T.StructField("positive", T.BooleanType()), T.StructField("x", T.BinaryType())])
+FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("positive", T.BooleanType()), T.StructField("x", T.BinaryType())])
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame) -> dict | None:
@@ -169,12 +169,13 @@ def fit_documents(docs: DataFrame, labels: DataFrame) -> dict | None:
     chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES)
     others = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED)
     picked = chosen.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
-    sample = usable.join(picked, "doc_id").select("positive", "text")
+    sample = usable.join(F.broadcast(picked), "doc_id")  # POSITIVES + UNLABELLED ids at most, so texts stay where they are
 
     def make():
-        return lambda rows: {"positive": rows["positive"], "x": [features(t).tobytes() for t in rows["text"]]}
+        return lambda rows: {"doc_id": rows["doc_id"], "positive": rows["positive"], "x": [features(t).tobytes() for t in rows["text"]]}
 
-    got = arrow_map(sample, make, FEATURES).collect()  # POSITIVES + UNLABELLED rows at most
+    # one row of features for each chosen id, however often it occurs, so the bound holds for what the driver gathers
+    got = arrow_map(sample.select("doc_id", "positive", "text"), make, FEATURES).groupBy("doc_id", "positive").agg(F.min("x").alias("x")).collect()
     arrays = [np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in got if r["positive"] == side))).reshape(-1, WIDTH) for side in (True, False)]
     order = [np.random.default_rng(5).permutation(len(a)) for a in arrays]  # sorted, then dealt: the same rows give the same model
     return fit(*(a[o] for a, o in zip(arrays, order, strict=True)))
