@@ -99,7 +99,9 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     placements.sort()
     lengths, ranks, firsts, offsets = (np.array(x, dtype=np.int64) for x in zip(*placements, strict=True))
     keys = lengths * RANKS + ranks
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))).select("length", "pid", F.coalesce("before", F.lit(0)).alias("before"))
+    earlier = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", "pid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    before = before.hint("merge")  # grows with the number of tasks, so it is shuffled and not sent to all
     ranked = pieces.join(before, ["length", "pid"]).withColumn("rank", F.col("before") + F.col("seq")).drop("before", "seq", "pid")
     names = [c for c in ranked.columns if c != "rank"]
     schema = T.StructType([*[ranked.schema[c] for c in names], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
