@@ -2,16 +2,19 @@
 
 Documents go to shards in ascending doc_id order.  A shard file is the raw ids, 16 bits each where the vocabulary
 allows and 32 otherwise, and nothing else.  The index is cut by key hash into buckets of bounded size; each bucket
-holds a minimal perfect hash (levels of bit maps: a key settles on the first level where it is alone) and, in slot
-order, a 32-bit fingerprint of the key, shard, offset and length.  A lookup hashes once, finds its slot by counting
-bits, compares the fingerprint, and reads that range of one file.
+holds a minimal perfect hash over 128-bit keys (levels of bit maps, with the count of bits before every 512th: a key
+settles on the first level where it is alone) and, in slot order, a 32-bit fingerprint of the key, shard, offset and
+length.  A lookup hashes once, finds its slot from one stored count and at most eight words of bits, compares the
+fingerprint, and reads that range of one file.
 
-Shard files are named by task attempt; only those that the committed record table names count, so a lost executor or a
-repeated attempt leaves at most an unused file.  Paths may be any that pyarrow's file systems know.
+Rows are ranged by doc_id and then by hash of the text and place in the scan, so one id with a great many rows spreads
+over tasks like any others.  Shard files are named by task attempt; only those that the committed record table names
+count, so a lost executor or a repeated attempt leaves at most an unused file.  Paths may be any that pyarrow's file
+systems know.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id sorts first and is a key like any other;
-rows that repeat a doc_id are keyed by their number among equals (ordered by text, nulls first); an empty table
-gives no shards and no rows; extra columns are not read.
+rows that repeat a doc_id are keyed by their number among equals (in the order in which they are written); an id that
+does not fit the asked width is an error; an empty table gives no shards and no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,6 +40,8 @@ from .common import documents, new_folder, small_batches, stored
 SHARD_IDS, SHARD_DOCS = 4_000_000, 100_000
 #: Keys of an index bucket, on average.
 BUCKET_KEYS = 50_000
+#: Bytes read from a shard file at once, where neighbours are asked for.
+READ_BYTES = 1 << 20
 #: Bits of a level for each key that has not settled.
 GAMMA = 2.0
 
@@ -53,12 +58,24 @@ def _open(folder: str, name: str, mode: str):
     return system.open_input_file(f"{base}/{name}")
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0, width: int = 2) -> DataFrame:
-    """Writes doc_id, text as shards under folder; returns the stored record of each document."""
+def id_width(vocabulary: str | None = None, end_id: int = 0) -> int:
+    """Bytes of an id: 2 where every id of the vocabulary fits, else 4."""
+    known = bytebpe.encoder(vocabulary).tokenizer.get_vocab(with_added_tokens=True)
+    return 2 if max([*known.values(), end_id]) < 1 << 16 else 4
+
+
+def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0, width: int | None = None) -> DataFrame:
+    """Writes doc_id, text as shards under folder; returns the stored record of each document. width: bytes of an id."""
     spark = docs.sparkSession
     small_batches(spark)
+    least = id_width(vocabulary, end_id)
+    if (width or least) < least:
+        raise ValueError(f"ids of this vocabulary need {least} bytes")
+    width = width or least
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "h", "place"]
+    placed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    ordered = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     arrow, end = to_arrow_schema(RECORDS), int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +107,19 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         if out:
             out.close()
 
-    return stored(ordered.mapInArrow(run, RECORDS), "records")
+    records = stored(ordered.mapInArrow(run, RECORDS), "records")
+    # an id whose rows lie in several tasks is counted on from task to task; these are the ids at the tasks' edges
+    key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")
+    edges = records.groupBy("pid").agg(F.min(key).alias("x"), F.max(key).alias("y"))
+    edges = edges.select(F.explode(F.array("x.doc_id", "y.doc_id")).alias("e")).groupBy("e").agg(F.count("*").alias("n")).where("n > 1").select("e")
+    per = records.join(edges, F.col("doc_id").eqNullSafe(F.col("e")), "left_semi").groupBy("doc_id", "pid").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("doc_id").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("before", F.sum("n").over(earlier)).where("before IS NOT NULL").select(F.col("doc_id").alias("e"), F.col("pid").alias("p"), "before")
+    per = stored(per, "straddling")
+    if per.isEmpty():
+        return records
+    counted = records.join(per, F.col("doc_id").eqNullSafe(F.col("e")) & (F.col("pid") == F.col("p")), "left")
+    return stored(counted.withColumn("ordinal", F.col("ordinal") + F.coalesce("before", F.lit(0))).select(RECORDS.names), "records")
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -101,76 +130,104 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _salted(keys: np.ndarray, others: np.ndarray, seed: int) -> np.ndarray:
+    """One 64-bit value of a 128-bit key for each seed."""
+    return mixed(keys ^ mixed(others, seed + 500), seed)
+
+
 class PerfectHash:
-    """A minimal perfect hash of distinct 64-bit keys: slots(keys) is a permutation of 0 .. n - 1 over the keys it was built from.
+    """A minimal perfect hash of distinct 128-bit keys (two arrays of 64 bits): slots() is a permutation of 0 .. n - 1 over
+    the keys it was built from. For other keys it gives any slot or -1; the stored fingerprint tells them apart.
 
-    For other keys it gives any slot or -1; the stored fingerprint tells them apart.
-    """
+    A level is its size, its bits in 64-bit words, and the count of bits before each eighth word, counted on over levels."""
 
-    def __init__(self, levels: list[np.ndarray]):
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]]):
         self.levels = levels
-        self.ranks = [np.concatenate(([0], np.cumsum(b, dtype=np.int64)[:-1])) for b in levels]
-        self.first = np.cumsum([0, *(int(b.sum()) for b in levels)])
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> "PerfectHash":
-        levels: list[np.ndarray] = []
+    def build(cls, keys: np.ndarray, others: np.ndarray) -> "PerfectHash":
+        levels, settled = [], 0
         while keys.size:
-            m = max(64, int(GAMMA * keys.size))
-            place = (mixed(keys, len(levels)) % np.uint64(m)).astype(np.int64)
+            m = -(-max(64, int(GAMMA * keys.size)) // 512) * 512
+            place = (_salted(keys, others, len(levels)) % np.uint64(m)).astype(np.int64)
             alone = np.bincount(place, minlength=m) == 1
-            levels.append(alone)
-            keys = keys[~alone[place]]
+            counts = alone.reshape(-1, 512).sum(axis=1)
+            levels.append((m, np.packbits(alone, bitorder="little").view("<u8"), (settled + np.cumsum(counts) - counts).astype("<u4")))
+            settled += int(counts.sum())
+            keep = ~alone[place]
+            keys, others = keys[keep], others[keep]
             if len(levels) > 200:
                 raise ValueError("keys are not distinct")
         return cls(levels)
 
-    def slots(self, keys: np.ndarray) -> np.ndarray:
+    def slots(self, keys: np.ndarray, others: np.ndarray) -> np.ndarray:
         out, open_ = np.full(keys.size, -1, dtype=np.int64), np.arange(keys.size)
-        for k, (bits, ranks) in enumerate(zip(self.levels, self.ranks, strict=True)):
-            place = (mixed(keys[open_], k) % np.uint64(bits.size)).astype(np.int64)
-            here = bits[place]
-            out[open_[here]] = self.first[k] + ranks[place[here]]
+        for k, (m, words, before) in enumerate(self.levels):
+            place = (_salted(keys[open_], others[open_], k) % np.uint64(m)).astype(np.int64)
+            word, bit = place >> 6, (place & 63).astype(np.uint64)
+            here = (words[word] >> bit & np.uint64(1)).astype(bool)
+            word, bit, first = word[here], bit[here], word[here] & ~7
+            slot = before[first >> 3].astype(np.int64) + np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+            for j in range(7):
+                slot += np.where(first + j < word, np.bitwise_count(words[np.minimum(first + j, word)]), 0)
+            out[open_[here]] = slot
             open_ = open_[~here]
         return out
 
     def dump(self) -> bytes:
-        head = json.dumps([int(b.size) for b in self.levels]).encode()
-        return len(head).to_bytes(4, "little") + head + b"".join(np.packbits(b).tobytes() for b in self.levels)
+        head = json.dumps([m for m, _, _ in self.levels]).encode()
+        return len(head).to_bytes(4, "little") + head + b"".join(words.tobytes() + before.tobytes() for _, words, before in self.levels)
 
     @classmethod
     def load(cls, data: bytes) -> "PerfectHash":
+        """The arrays as they lie in data; nothing is counted anew."""
         n = int.from_bytes(data[:4], "little")
         at, levels = 4 + n, []
-        for size in json.loads(data[4 : 4 + n]):
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, (size + 7) // 8, at), count=size).astype(bool))
-            at += (size + 7) // 8
+        for m in json.loads(data[4 : 4 + n]):
+            levels.append((m, np.frombuffer(data, "<u8", m // 64, at), np.frombuffer(data, "<u4", m // 512, at + m // 8)))
+            at += m // 8 + m // 128
         return cls(levels)
 
 
-def _key():
-    return F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("ordinal"))
+def _keys() -> list[Column]:
+    """A document key's 128 bits."""
+    parts = (F.col("doc_id"), F.col("doc_id").isNull(), F.col("ordinal"))
+    return [F.xxhash64(*parts).alias("key"), F.xxhash64(F.lit(7), *parts).alias("other")]
+
+
+def _bits(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(part[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("key", "other"))
 
 
-INDEX = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("hash", T.BinaryType()), *[T.StructField(c, T.BinaryType()) for c in ("prints", "shards", "offsets", "lengths")], T.StructField("files", T.ArrayType(T.StringType()))])
+def _prints(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return (_salted(others, keys, 999) >> np.uint64(32)).astype("<u4")
+
+
+INDEX = T.StructType([
+    T.StructField("bucket", T.LongType()), T.StructField("hash", T.BinaryType()),
+    *[T.StructField(c, T.BinaryType()) for c in ("prints", "shards", "offsets", "lengths")], T.StructField("files", T.ArrayType(T.StringType())),
+])
 
 
 def build_index(records: DataFrame, buckets: int) -> DataFrame:
     """One row for each bucket of keys: the perfect hash and the slots' fingerprints, shard files, offsets and lengths."""
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        keys = part["key"].to_numpy().astype(np.int64).view(np.uint64)
-        hashed = PerfectHash.build(keys)
-        order = np.argsort(hashed.slots(keys))
+        keys = _bits(part)
+        hashed = PerfectHash.build(*keys)
+        order = np.argsort(hashed.slots(*keys))
         files, shard = np.unique(part["file"].to_numpy().astype(str), return_inverse=True)
-        arrays = ((mixed(keys, 999) >> np.uint64(32)).astype("<u4"), shard.astype("<i4"), part["offset"].to_numpy().astype("<i8"), part["n_tokens"].to_numpy().astype("<i8"))
+        arrays = (_prints(*keys), shard.astype("<i4"), part["offset"].to_numpy().astype("<i8"), part["n_tokens"].to_numpy().astype("<i8"))
         return pd.DataFrame([[part["bucket"].iloc[0], hashed.dump(), *(a[order].tobytes() for a in arrays), files.tolist()]], columns=INDEX.names)
 
-    keyed = records.withColumn("key", _key()).withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    return keyed.select("bucket", "key", "file", "offset", "n_tokens").groupBy("bucket").applyInPandas(build, INDEX)
+    keyed = records.select("*", *_keys()).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    return keyed.select("bucket", "key", "other", "file", "offset", "n_tokens").groupBy("bucket").applyInPandas(build, INDEX)
 
 
-FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ordinal", T.LongType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.LongType())])
+FOUND = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("ordinal", T.LongType()),
+    T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.LongType()),
+])
 
 
 def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
@@ -180,50 +237,66 @@ def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
         if part.empty or rows.empty:
             return pd.DataFrame(columns=FOUND.names)
         row = rows.iloc[0]
-        keys = part["key"].to_numpy().astype(np.int64).view(np.uint64)
+        bits = _bits(part)
         prints, shards, offsets, lengths = (np.frombuffer(row[c], t) for c, t in (("prints", "<u4"), ("shards", "<i4"), ("offsets", "<i8"), ("lengths", "<i8")))
-        slots = PerfectHash.load(row["hash"]).slots(keys)
-        good = (slots >= 0) & (prints[np.maximum(slots, 0)] == (mixed(keys, 999) >> np.uint64(32)).astype("<u4"))
+        slots = PerfectHash.load(row["hash"]).slots(*bits)
+        good = (slots >= 0) & (prints[np.maximum(slots, 0)] == _prints(*bits))
         part, slots = part[good], slots[good]
         files = np.array(list(row["files"]), dtype=object)
         return pd.DataFrame({"doc_id": part["doc_id"], "ordinal": part["ordinal"], "file": files[shards[slots]], "offset": offsets[slots], "n_tokens": lengths[slots]})
 
-    keyed = keys.withColumn("key", _key()).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    keyed = keys.select("doc_id", "ordinal", *_keys()).withColumn("bucket", F.pmod("key", F.lit(buckets)))
     return keyed.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, FOUND)
 
 
 READ = T.StructType([*FOUND.fields, T.StructField("ids", T.BinaryType())])
 
 
+def _ranges(f, offsets: list[int], lengths: list[int], width: int) -> Iterator[np.ndarray]:
+    """The ids of ascending ranges of an open file; neighbours are read at once, READ_BYTES or one range at most."""
+    start, data = 0, b""
+    for k, (at, n) in enumerate(zip(offsets, lengths, strict=True)):
+        first, past = width * at, width * (at + n)
+        if past > start + len(data) or first < start:
+            stop, j = past, k + 1
+            while j < len(offsets) and width * offsets[j] == stop and stop + width * lengths[j] - first <= READ_BYTES:
+                stop, j = stop + width * lengths[j], j + 1
+            f.seek(first)
+            start, data = first, f.read(stop - first)
+        yield np.frombuffer(data, f"<u{width}", n, first - start)
+
+
 def read_ids(found: DataFrame, folder: str, width: int = 2, digest: bool = False) -> DataFrame:
-    """The ids of looked-up keys as little-endian unsigned 32-bit integers, or with digest their crc32 instead; a file is opened once."""
+    """The ids of looked-up keys as little-endian unsigned 32-bit integers, or with digest their crc32 instead.
+
+    A file is opened once; only the asked ranges are read."""
     schema = T.StructType([*FOUND.fields, T.StructField("ids_crc32", T.LongType()) if digest else READ["ids"]])
 
     def read(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("offset")
         with _open(folder, part["file"].iloc[0], "r") as f:
-            data = f.read()
-        ids = (np.frombuffer(data, f"<u{width}", n, width * at).astype("<u4").tobytes() for at, n in zip(part["offset"], part["n_tokens"], strict=True))
-        return part.assign(**{schema.names[-1]: [zlib.crc32(x) for x in ids] if digest else list(ids)})[schema.names]
+            ids = (x.astype("<u4").tobytes() for x in _ranges(f, part["offset"].tolist(), part["n_tokens"].tolist(), width))
+            return part.assign(**{schema.names[-1]: [zlib.crc32(x) for x in ids] if digest else list(ids)})[schema.names]
 
     return found.groupBy("file").applyInPandas(read, schema)
 
 
 def shard_starts(records: DataFrame) -> DataFrame:
-    """Ids before each shard, by sums of sums: over the tasks first, then within each task."""
+    """Ids before each shard, by sums of sums: over the tasks first (one row each, so one window holds them), then within each task."""
     shards = records.groupBy("pid", "shard", "file").agg(F.sum("n_tokens").alias("n"))
-    tasks = shards.groupBy("pid").agg(F.sum("n").alias("n")).withColumn("task_start", F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))).select("pid", "task_start")
-    inner = F.sum("n").over(Window.partitionBy("pid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    before = (Window.unboundedPreceding, -1)
+    tasks = shards.groupBy("pid").agg(F.sum("n").alias("n"))
+    tasks = tasks.select("pid", F.sum("n").over(Window.orderBy("pid").rowsBetween(*before)).alias("task_start"))
+    inner = F.sum("n").over(Window.partitionBy("pid").orderBy("shard").rowsBetween(*before))
     return shards.withColumn("inner", inner).join(tasks, "pid").select("file", (F.coalesce("task_start", F.lit(0)) + F.coalesce("inner", F.lit(0))).alias("shard_start"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes, writes shards and index, then looks up every key and reads its ids back from the files."""
-    docs = documents(spark, sf_dir)
     folder = new_folder(spark, "shards")
-    records = write_shards(docs, folder)
+    records = write_shards(documents(spark, sf_dir), folder)
     buckets = max(1, -(-records.count() // BUCKET_KEYS))
     index = stored(build_index(records, buckets), "index")
-    keys = docs.groupBy("doc_id").count().select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("ordinal"))
-    ids = read_ids(look_up(keys, index, buckets), folder, digest=True)
-    return ids.join(shard_starts(records), "file").select("doc_id", (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    ids = read_ids(look_up(records.select("doc_id", "ordinal"), index, buckets), folder, id_width(), digest=True)
+    start = (F.col("shard_start") + F.col("offset")).alias("start")
+    return ids.join(shard_starts(records), "file").select("doc_id", start, "n_tokens", "ids_crc32")

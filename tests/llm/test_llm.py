@@ -91,27 +91,54 @@ def test_new_packs_are_filled_with_one_length():
         assert used.max() <= 1024 and used.sum() == sum(n * c for n, c in histogram.items()) > 0.93 * 1024 * packs
 
 
+def read_all(records, folder, buckets=3):
+    index = tokenfiles.build_index(records, buckets).cache()
+    return tokenfiles.read_ids(tokenfiles.look_up(records.select("doc_id", "ordinal"), index, buckets), folder), index
+
+
 def test_token_files_round_trip(spark, docs, monkeypatch):
     monkeypatch.setattr(tokenfiles, "SHARD_DOCS", 4)
     folder = new_folder(spark, "test")
     records = tokenfiles.write_shards(docs, folder)
-    index = tokenfiles.build_index(records, 3).cache()
-    keys = docs.groupBy("doc_id").count().select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("ordinal"))
-    got = tokenfiles.read_ids(tokenfiles.look_up(keys, index, 3), folder).collect()
-    ordered = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
-    want = {}
-    for r in ordered:
-        n = sum(k[0] == r.doc_id for k in want)
-        want[r.doc_id, n] = [*library(r.text), 0]
-    assert {(r.doc_id, r.ordinal): np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got} == want
+    got, index = read_all(records, folder)
+    got = got.join(tokenfiles.shard_starts(records), "file").collect()
+    texts = sorted((r.doc_id is not None, r.doc_id or 0, [*library(r.text), 0]) for r in docs.collect())
+    assert sorted((r.doc_id is not None, r.doc_id or 0, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in got) == texts
+    assert len({(r.doc_id, r.ordinal) for r in got}) == len(got)
+    before = 0
+    for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.ordinal)):
+        assert r.shard_start + r.offset == before and r.n_tokens == len(r.ids) // 4
+        before += r.n_tokens
     absent = spark.createDataFrame([(k, 0) for k in range(10**6, 10**6 + 300)], "doc_id long, ordinal long")
     assert tokenfiles.look_up(absent, index, 3).count() == 0
+    assert tokenfiles.write_shards(docs.where("false"), folder).count() == 0
+
+
+def test_rows_of_one_id_spread_over_tasks(spark):
+    rows = [(7, f"text {k % 50}") for k in range(400)] + [(None, "x")] * 300 + [(k, "y") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = new_folder(spark, "test")
+    records = tokenfiles.write_shards(docs, folder)
+    assert records.where("doc_id = 7").select("pid").distinct().count() > 1
+    got = read_all(records, folder)[0].collect()
+    assert len({(r.doc_id, r.ordinal) for r in got}) == len(got) == len(rows)
+    for doc_id in (7, None):
+        found = sorted(np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got if r.doc_id == doc_id)
+        assert found == sorted([*library(t), 0] for d, t in rows if d == doc_id)
+        assert sorted(r.ordinal for r in got if r.doc_id == doc_id) == list(range(len(found)))
+
+
+def test_width_follows_the_vocabulary(spark, docs):
+    assert tokenfiles.id_width() == 2 and tokenfiles.id_width(end_id=70_000) == 4
+    with pytest.raises(ValueError, match="need 4 bytes"):
+        tokenfiles.write_shards(docs, new_folder(spark, "test"), end_id=70_000, width=2)
 
 
 def test_perfect_hash_is_minimal():
-    keys = np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64)
-    hashed = tokenfiles.PerfectHash.load(tokenfiles.PerfectHash.build(keys).dump())
-    assert sorted(hashed.slots(keys)) == list(range(keys.size))
+    keys, others = np.random.default_rng(1).integers(0, 2**63, (2, 20_000), dtype=np.uint64)
+    keys[:500] = keys[0]  # 64 bits collide, 128 do not
+    hashed = tokenfiles.PerfectHash.load(tokenfiles.PerfectHash.build(keys, others).dump())
+    assert sorted(hashed.slots(keys, others)) == list(range(keys.size))
 
 
 def test_pieces_equal_library():
