@@ -1,13 +1,15 @@
 """Lossless WebP: a decoder of the whole format, an encoder, and media columns of byte payloads.
 
 The decoder reads prefix codes (one group or many by a meta image), back-references and the colour cache, and inverts
-predictor, cross-colour, subtract-green and palette transforms.  Runs of literals are decoded for all bit positions at
-once: for each position the lengths of the four codes that would start there give the next pixel's position, and one walk
-along these picks the pixels.  Everything else goes pixel by pixel.
+predictor, cross-colour, subtract-green and palette transforms.  Runs of literals are decoded for all bit positions of a
+chunk at once: for each position the lengths of the codes that would start there give the next pixel's position, and one
+walk along these picks the pixels.  Meta images and colour caches go pixel by pixel.
 
-A payload of bytes is stored four to a pixel (alpha, red, green, blue), 16 pixels to a row or more, in images of at most
-IMAGE_BYTES each, one after another.  Literals take one prefix code for all four channels: a preset one, or the image's own
-where its size repays the table.
+A payload of bytes is stored as 8-bit samples, the green channel of opaque pixels, 64 to a row, in images of at most
+IMAGE_BYTES each, one after another.  An image has a palette (two, four or eight samples to a pixel where the palette
+allows), or predicts samples from the left or from above where that is estimated to be shorter; then come literals by the
+image's own prefix code and back-references to what occurred before.  pixel_arrays() gives the decoded samples as columns;
+read_back() gives digests of the same arrays.
 
 Defined cases: null and empty texts are 64 zero bytes; equal texts give equal values in every column but doc_id; repeated
 rows and ties do not matter; an empty table gives no rows; extra columns are not read.
@@ -20,6 +22,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +31,12 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, documents, stored
 
-#: Payload bytes of an image at most; bounds the decoder's memory.
-IMAGE_BYTES = 1 << 20
-#: Longest code of a byte in payload images.
-OWN_LIMIT = 11
-#: From this many bytes on an image has a prefix code of its own.
-OWN_CODE = 16384
+#: Samples in a row of a payload's image, and payload bytes of an image at most (16,384 rows); bounds a worker's memory.
+ROW, IMAGE_BYTES = 64, 1 << 20
+#: Longest code of a sample in payload images, and the shortest back-reference.
+CODE_LIMIT, MATCH = 12, 24
+#: Bytes of a stream whose bit positions a decoder looks at together.
+CHUNK_BYTES = 1 << 16
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -53,6 +56,11 @@ class Bits:
         return (int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
 
 
+@lru_cache(maxsize=1 << 16)
+def _reversed(code: int, n: int) -> int:
+    return int(f"{code:0{n}b}"[::-1], 2)
+
+
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """symbol: (code with its first bit lowest, length), for symbols with a length."""
     out, code = {}, 0
@@ -61,7 +69,7 @@ def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     for n, symbol in used:
         code <<= n - last
         last = n
-        out[symbol] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        out[symbol] = (_reversed(code, n), n)
         code += 1
     return out
 
@@ -164,48 +172,79 @@ def _read_group(bits: Bits, cache_bits: int, groups: int) -> list[list[Code]]:
     return codes
 
 
-def _literals(bits: Bits, group: list[Code], most: int) -> np.ndarray:
-    """Pixels of the run of literals that starts here, at most `most`; bits.at moves behind it."""
-    first = bits.at >> 3
-    n_bytes = min(len(bits.data) - first, (most * sum(c.width for c in group[:4]) + 7) // 8 + 1)
-    raw = np.frombuffer(bits.data, np.uint8, n_bytes, first)
-    wide = np.zeros(n_bytes + 16, dtype=np.uint32)
-    wide[:n_bytes] = raw
-    wide = wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)
-    window = (wide[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
-    total, here = window.size, np.arange(window.size, dtype=np.int32)
-
-    def after(place: np.ndarray, code: Code) -> np.ndarray:
-        return place if not code.width else np.minimum(place + code.steps[window[place] & np.uint32((1 << code.width) - 1)], total - 1)
-
-    g, r, b, a = group[:4]
-    if g is r is b is a and g.width:
-        one = np.minimum(here + g.steps[window & np.uint32((1 << g.width) - 1)], total - 1)
-        two = one[one]
-        ahead = two[two]
-    else:
-        ahead = after(after(after(after(here, g), r), b), a)
-    if not g.literal:
-        ahead = np.where(g.symbols[window & np.uint32((1 << g.width) - 1)] >= 256, -1, ahead)
-    walk, at, places, end = memoryview(np.ascontiguousarray(ahead)), bits.at & 7, [], 8 * n_bytes
-    for _ in range(most):
-        step = walk[at]
-        if step < 0:
-            break
-        places.append(at)
-        at = step
-    if at > end:
-        raise ValueError("the data end within a pixel")
-    bits.at = 8 * first + at
-    place, out = np.array(places, dtype=np.int64), np.zeros(len(places), dtype=np.uint32)
-    for code, left in ((g, 8), (r, 16), (b, 0), (a, 24)):
-        if code.width:
-            k = window[place] & np.uint32((1 << code.width) - 1)
-            out |= code.symbols[k].astype(np.uint32) << np.uint32(left)
-            place = place + code.sizes[k]
-        else:
-            out |= np.uint32(int(code.symbols[0]) << left)
-    return out
+class Walk:
+    """Runs of literals of one group: where the next pixel starts is found for all bit positions of a chunk at once, and a
+    walk along these picks the pixels. A position where no literal starts leads to itself."""
+
+    def __init__(self, bits: Bits, group: list[Code]):
+        self.bits, self.codes, self.first, self.limit = bits, group[:4], 0, -1
+
+    def _load(self) -> None:
+        bits, (g, r, b, a) = self.bits, self.codes
+        self.first = bits.at >> 3
+        raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - self.first, CHUNK_BYTES + 64), self.first)
+        wide = np.zeros(raw.size + 64, dtype=np.uint32)
+        wide[: raw.size] = raw
+        wide = wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)
+        self.window = (wide[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
+        self.limit = 8 * min(raw.size, CHUNK_BYTES)
+        self.end = 8 * (len(bits.data) - self.first)
+        here = np.arange(self.window.size, dtype=np.int32)
+        ahead = here
+        for code in (g, r, b, a):
+            if code.width:
+                key = self.window if ahead is here else self.window[ahead]
+                ahead = np.minimum(ahead + code.steps[key & np.uint32((1 << code.width) - 1)], self.window.size - 1)
+        if not g.literal:
+            ahead = np.where(g.symbols[self.window & np.uint32((1 << g.width) - 1)] >= 256, here, ahead)
+        self.ahead = ahead
+        two = ahead[ahead]
+        self.leap = memoryview(two[two])
+
+    def __call__(self, most: int) -> np.ndarray:
+        """Pixels of the run of literals that starts here, at most `most`; the bits' place moves behind it."""
+        bits, parts, left = self.bits, [], most
+        while left:
+            if not 0 <= bits.at - 8 * self.first < self.limit:
+                self._load()
+            leap, at, limit, places = self.leap, bits.at - 8 * self.first, self.limit, []
+            add = places.append
+            for _ in range(-(-left // 4)):  # four pixels at a time
+                add(at)
+                step = leap[at]
+                if step == at:
+                    break
+                at = step
+                if at >= limit:
+                    break
+            four = np.empty((len(places), 4), dtype=np.int32)
+            four[:, 0] = places
+            for k in (1, 2, 3):
+                four[:, k] = self.ahead[four[:, k - 1]]
+            place = four.reshape(-1)
+            after = self.ahead[place]
+            stops = np.flatnonzero(after == place)  # no literal starts there
+            n = min(left, int(stops[0]) if stops.size else place.size)
+            at = int(after[n - 1]) if n else bits.at - 8 * self.first
+            if at > self.end:
+                raise ValueError("the data end within a pixel")
+            bits.at = 8 * self.first + at
+            left -= n
+            parts.append(self._pixels(place[:n]))
+            if stops.size or at >= self.end:
+                break
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+
+    def _pixels(self, place: np.ndarray) -> np.ndarray:
+        out = np.zeros(place.size, dtype=np.uint32)
+        for code, left in zip(self.codes, (8, 16, 0, 24), strict=True):
+            if code.width:
+                k = self.window[place] & np.uint32((1 << code.width) - 1)
+                out |= code.symbols[k].astype(np.uint32) << np.uint32(left)
+                place = place + code.sizes[k]
+            else:
+                out |= np.uint32(int(code.symbols[0]) << left)
+        return out
 
 
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -221,9 +260,10 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     out = np.zeros(total, dtype=np.uint32)
     cache = [0] * (1 << cache_bits) if cache_bits else None
     at, kept = 0, 0
+    walk = Walk(bits, groups[0]) if meta is None and cache is None and any(c.width for c in groups[0][:4]) else None
     while at < total:
-        if meta is None and cache is None:
-            literals = _literals(bits, groups[0], total - at)
+        if walk:
+            literals = walk(total - at)
             out[at : at + literals.size] = literals
             at += literals.size
             if at == total:
@@ -231,8 +271,14 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             group = groups[0]
         else:
             group = groups[0] if meta is None else groups[int(meta[(at // width >> block) * across + (at % width >> block)])]
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the data end within the image")
         green = group[0].read(bits)
-        if green < 256:
+        if green < 256 and meta is None and cache is None and not any(c.width for c in group[:4]):
+            red, blue, alpha = (int(c.symbols[0]) for c in group[1:4])
+            out[at:] = alpha << 24 | red << 16 | green << 8 | blue  # every pixel takes no bits
+            at = total
+        elif green < 256:
             red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
             out[at] = alpha << 24 | red << 16 | green << 8 | blue
             at += 1
@@ -286,9 +332,28 @@ def _predict(mode: int, left, top, right, corner) -> np.ndarray:
     return np.clip(mean + np.sign(half) * (np.abs(half) >> 1), 0, 255).astype(np.uint8)
 
 
+def _along(channels: np.ndarray, mode: int, forward: bool) -> np.ndarray:
+    """As _predicted, where every block predicts from the left (1) or from above (2): differences and sums along rows and columns."""
+    out, start = channels.copy(), np.array([0, 0, 0, 255], dtype=np.uint8)
+    if forward:
+        out[0, 0] -= start
+        out[0, 1:] -= channels[0, :-1]
+        out[1:, 0] -= channels[:-1, 0]
+        out[1:, 1:] -= channels[1:, :-1] if mode == 1 else channels[:-1, 1:]
+        return out
+    out[0, 0] += start
+    if mode == 1:
+        out[:, 0] = out[:, 0].cumsum(axis=0, dtype=np.uint8)
+        return out.cumsum(axis=1, dtype=np.uint8)
+    out[0] = out[0].cumsum(axis=0, dtype=np.uint8)
+    return out.cumsum(axis=0, dtype=np.uint8)
+
+
 def _predicted(channels: np.ndarray, modes: np.ndarray, block: int, forward: bool) -> np.ndarray:
     """Residuals to pixels, or pixels to residuals; channels (height, width, 4) in memory order blue, green, red, alpha."""
     height, width, _ = channels.shape
+    if np.isin(modes, (1, 2)).all() and (modes == modes[0]).all():
+        return _along(channels, int(modes[0]), forward)
     across, flat, done = _blocks(width, block), channels.reshape(-1, 4), channels.reshape(-1, 4).copy()
     known = flat if forward else done
     for at in range(height * width):
@@ -390,17 +455,20 @@ def code_lengths(counts: list[int], limit: int) -> list[int]:
         return out
     least = 1
     while True:
-        heap = [(max(counts[s], least), k, (s,)) for k, s in enumerate(used)]
+        heap = [(max(counts[s], least), k) for k, s in enumerate(used)]
         heapq.heapify(heap)
-        depth, k = dict.fromkeys(used, 0), len(used)
+        parent, k = [0] * (2 * len(used) - 1), len(used)
         while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], k, a[2] + b[2]))
+            n, a = heapq.heappop(heap)
+            m, b = heap[0]
+            parent[a] = parent[b] = k
+            heapq.heapreplace(heap, (n + m, k))
             k += 1
-        if max(depth.values()) <= limit:
-            for s, n in depth.items():
+        depth = [0] * k
+        for node in range(k - 2, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth[: len(used)]) <= limit:
+            for s, n in zip(used, depth, strict=False):
                 out[s] = n
             return out
         least *= 2
@@ -417,20 +485,14 @@ def write_code(w: Writer, lengths: list[int]) -> None:
             w.put(s, 8)
         return
     w.put(0, 1)
-    tokens, at = [], 0
-    while at < len(lengths):
-        n, times = lengths[at], 1
-        while at + times < len(lengths) and lengths[at + times] == n and times < 138:
-            times += 1
-        if not n and times >= 11:
-            tokens.append((18, times - 11, 7))
-        elif not n and times >= 3:
-            tokens.append((17, min(times, 10) - 3, 3))
-            times = min(times, 10)
-        else:
-            tokens.append((n, 0, 0))
-            times = 1
-        at += times
+    tokens = []
+    for n, run in groupby(lengths):
+        times = len(list(run))
+        while not n and times >= 3:
+            part = min(times, 138)
+            tokens.append((18, part - 11, 7) if part >= 11 else (17, part - 3, 3))
+            times -= part
+        tokens += [(n, 0, 0)] * times
     counts = [0] * 19
     for n, _, _ in tokens:
         counts[n] += 1
@@ -562,83 +624,168 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refe
     return _file(w.bytes())
 
 
-def _preset_counts() -> list[int]:
-    """Weights of bytes for the preset code: letters of running text high, other text bytes less, all others least."""
-    counts = [1] * 256
-    for b in range(128, 256):
-        counts[b] = 8
-    for b in range(32, 127):
-        counts[b] = 24
-    for k, b in enumerate(b" etaonirshdlucmfpgwybvkxjqz"):
-        counts[b] = int(6000 * 0.86**k) + 60
-    for b, n in ((10, 60), (44, 160), (46, 220), (0, 120), (0xC3, 260)):
-        counts[b] = n
-    return counts
-
-
-@lru_cache(maxsize=8)
-def _tables(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    value, size = np.zeros(256, dtype=np.uint64), np.zeros(256, dtype=np.int64)
-    for s, (code, bits) in canonical(list(lengths)).items():
-        value[s], size[s] = code, bits
+def _repeats(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references, in order: MATCH samples or more that occurred before.
+
+    The nearest earlier occurrence of every window of MATCH samples comes from one sort of the windows' hashes."""
+    n = samples.size - MATCH + 1
+    if n < 2:
+        return []
+    raw = samples.tobytes() + bytes(8)
+    words = np.zeros(samples.size + 8, dtype=np.uint64)
+    for k in range(8):
+        part = np.frombuffer(raw, "<u8", (len(raw) - k) // 8, k)
+        words[k : k + 8 * part.size : 8] = part
+    hashes = np.zeros(n, dtype=np.uint64)
+    for k in range(0, MATCH, 8):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    if not same.size:
+        return []
+    earlier = np.full(n, -1, dtype=np.int64)
+    earlier[order[same + 1]] = order[same]
+    places = np.flatnonzero(earlier >= 0)
+    out, at, k = [], 0, 0
+    while k < places.size:
+        place = int(places[k])
+        from_, most = int(earlier[place]), min(4096, samples.size - place)
+        other = np.flatnonzero(samples[place : place + most] != samples[from_ : from_ + most])
+        length = int(other[0]) if other.size else most
+        if length >= MATCH:
+            out.append((place, length, place - from_))
+            at = place + length
+            k = int(np.searchsorted(places, at))
+        else:
+            k += 1
+    return out
+
+
+def _bits_of(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their sizes by symbol; a lone symbol takes no bits."""
+    value, size = np.zeros(len(lengths), dtype=np.uint64), np.zeros(len(lengths), dtype=np.int64)
+    if sum(map(bool, lengths)) > 1:
+        for s, (code, bits) in canonical(lengths).items():
+            value[s], size[s] = code, bits
     return value, size
 
 
-@lru_cache(maxsize=1)
-def _preset() -> tuple[list[int], Writer]:
-    return _own(_preset_counts())
+def _put_all(start: Writer, value: np.ndarray, size: np.ndarray) -> bytes:
+    """What start holds, then every value in its size of bits, summed into 64-bit words."""
+    ends = np.cumsum(size) + start.size
+    at = ends - size
+    total = int(ends[-1])
+    words = np.zeros((total >> 6) + 2, dtype=np.uint64)
+    lead = start.value.to_bytes(-(-start.size // 64) * 8, "little")
+    words[: len(lead) // 8] = np.frombuffer(lead, "<u8")
+    word, within = at >> 6, (at & 63).astype(np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] |= np.bitwise_or.reduceat(value << within, first)
+    over = np.flatnonzero((ends - 1) >> 6 > word)
+    words[word[over] + 1] |= value[over] >> (np.uint64(64) - within[over])
+    return words.tobytes()[: (total + 7) // 8]
 
 
-def _own(counts: list[int]) -> tuple[list[int], Writer]:
-    """Lengths for all four channels, and the head after the image size: no transform, cache or meta image, then the codes, up to a whole byte."""
-    lengths = code_lengths([*counts, *([0] * 24)], OWN_LIMIT)
-    w = Writer()
-    for _ in range(3):
-        w.put(0, 1)
+def _write_palette(w: Writer, used: np.ndarray) -> None:
+    """The palette of opaque colours with these green samples, as steps from one to the next, in literals."""
+    steps = np.diff(used, prepend=0).tolist()
+    lengths = code_lengths(np.bincount(steps, minlength=280).tolist(), 15)
+    w.put(0, 1)  # no colour cache
     write_code(w, lengths)
-    one = Writer()
-    write_code(one, lengths[:256])
-    for _ in range(3):
-        w.put(one.value, one.size)
-    write_code(w, [1] + [0] * 39)
-    return lengths, w
+    for lone in (0, 0):
+        w.put(0b101 | lone << 3, 11)
+    many = len(steps) > 1
+    w.put(0b111 | 0 << 3 | 255 << 11 if many else 0b101 | 255 << 3, 19 if many else 11)  # alpha: 255, then steps of 0
+    w.put(0b101, 11)
+    codes = canonical(lengths) if sum(map(bool, lengths)) > 1 else {}
+    for k, step in enumerate(steps):
+        w.put(*codes.get(step, (0, 0)))
+        w.put(int(many and not k), int(many))
+
+
+def _write_samples(start: Writer, samples: np.ndarray, width: int, alpha: int) -> bytes:
+    """The main image: samples in green, the other channels the same everywhere; literals and back-references."""
+    refs = _repeats(samples)
+    literal = np.ones(samples.size, dtype=bool)
+    for place, length, _ in refs:
+        literal[place : place + length] = False
+    at = np.flatnonzero(literal)
+    near = _near(width)
+    ends = [(place, _prefix(length), _prefix(near.get(far, far + 120))) for place, length, far in refs]
+    green = np.bincount(samples[at], minlength=280).tolist()
+    far = [0] * 40
+    for _, a, b in ends:
+        green[256 + a[0]] += 1
+        far[b[0]] += 1
+    lengths = code_lengths(green, CODE_LIMIT), code_lengths(far, 15)
+    for _ in range(2):
+        start.put(0, 1)  # no colour cache, no meta image
+    write_code(start, lengths[0])
+    for lone in (0, 0, alpha):
+        start.put(0b101 | lone << 3, 11)  # the short form: one symbol, in eight bits
+    write_code(start, lengths[1])
+    (value, size), (far_value, far_size) = map(_bits_of, lengths)
+    places, values, sizes = [at * 4], [value[samples[at]]], [size[samples[at]]]
+    if ends:
+        where = np.array([e[0] for e in ends]) * 4
+        a, b = (np.array([e[k] for e in ends]) for k in (1, 2))
+        places += [where, where + 1, where + 2, where + 3]
+        values += [value[256 + a[:, 0]], a[:, 1].astype(np.uint64), far_value[b[:, 0]], b[:, 1].astype(np.uint64)]
+        sizes += [size[256 + a[:, 0]], a[:, 2], far_size[b[:, 0]], b[:, 2]]
+    order = np.argsort(np.concatenate(places), kind="stable")
+    return _put_all(start, np.concatenate(values)[order], np.concatenate(sizes)[order])
+
+
+@lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    """Short codes of distances in images of a width."""
+    return {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(NEAR)))}
+
+
+def _cost(samples: np.ndarray, more: float) -> float:
+    """An estimate of the bits that samples take: their entropy, a code length for each symbol, and `more` for each."""
+    counts = np.bincount(samples, minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(samples.size / counts)).sum()) + (5 + more) * counts.size
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """A lossless WebP file whose pixels are the payload's 4-byte groups; literals in one code."""
-    n = len(payload) // 4
-    width = 16
-    while n > width * 16384:
-        width *= 2
-    raw = np.frombuffer(payload, np.uint8)
-    lengths, head = _preset()
-    if len(payload) >= OWN_CODE:
-        counts = np.bincount(raw, minlength=256).tolist()
-        if sum(map(bool, counts)) > 2:
-            lengths, head = _own(counts)
-    value, size = _tables(tuple(lengths))
-    start = Writer()
-    for v, k in ((width - 1, 14), (-(-n // width) - 1, 14), (1, 1), (0, 3)):
-        start.put(v, k)
-    start.put(head.value, head.size)
-    # Green, red, blue, alpha of each pixel are the payload's bytes in turn; codes are summed into 64-bit words.
-    bits = size[raw]
-    ends = np.cumsum(bits) + start.size
-    at = ends - bits
-    word, within = at >> 6, (at & 63).astype(np.uint64)
-    code = value[raw]
-    words = np.zeros((int(ends[-1]) >> 6) + 2, dtype=np.uint64)
-    first = np.flatnonzero(np.diff(word, prepend=-1))
-    words[word[first]] = np.bitwise_or.reduceat(code << within, first)
-    over = np.flatnonzero((ends - 1) >> 6 > word)
-    words[word[over] + 1] |= code[over] >> (np.uint64(64) - within[over])
-    stream = int.from_bytes(words.tobytes(), "little") | start.value if len(payload) < 2048 else None
-    if stream is not None:
-        return _file(stream.to_bytes(words.size * 8, "little")[: (int(ends[-1]) + 7) // 8])
-    front = np.zeros(words.size, dtype=np.uint64)
-    lead = start.value.to_bytes(-(-start.size // 64) * 8, "little")
-    front[: len(lead) // 8] = np.frombuffer(lead, "<u8")
-    return _file((words | front).tobytes()[: (int(ends[-1]) + 7) // 8])
+    """A lossless WebP file whose pixels' green samples are the payload's bytes, ROW to a row.
+
+    The palette transform, or prediction from the left or from above, goes first: whichever is estimated to be shortest."""
+    raw = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
+    w = Writer()
+    for value, n in ((ROW - 1, 14), (raw.shape[0] - 1, 14), (1, 1), (0, 3), (1, 1)):
+        w.put(value, n)
+    used = np.flatnonzero(np.bincount(raw.reshape(-1), minlength=256))
+    index = np.searchsorted(used, raw).astype(np.uint8)
+    pack = 3 if used.size <= 2 else 2 if used.size <= 4 else 1 if used.size <= 16 else 0
+    index = np.bitwise_or.reduce(index.reshape(raw.shape[0], -1, 1 << pack) << (np.arange(1 << pack, dtype=np.uint8) * np.uint8(8 >> pack)), axis=2)
+    costs = [_cost(index.reshape(-1), 5), *(_cost(_residual(raw, mode).reshape(-1), 0) for mode in (1, 2))]
+    best = costs.index(min(costs))
+    if best == 0:
+        w.put(PALETTE, 2)
+        w.put(used.size - 1, 8)
+        _write_palette(w, used)
+        samples = index
+    else:
+        block = 9
+        w.put(PREDICTOR, 2)
+        w.put(block - 2, 3)
+        n = _blocks(ROW, block) * _blocks(raw.shape[0], block)
+        write_pixels(w, np.full(n, best << 8, dtype=np.uint32), _blocks(ROW, block), False)
+        samples = _residual(raw, best)
+    w.put(0, 1)
+    alpha = 0 if best else 255  # pixels are opaque; a prediction is, too
+    return _file(_write_samples(w, samples.reshape(-1), samples.shape[1], alpha))
+
+
+def _residual(raw: np.ndarray, mode: int) -> np.ndarray:
+    out = raw.copy()
+    out[0, 1:] -= raw[0, :-1]
+    out[1:, 0] -= raw[:-1, 0]
+    out[1:, 1:] -= raw[1:, :-1] if mode == 1 else raw[:-1, 1:]
+    return out
 
 
 def pack_text(text: str | None) -> tuple[int, bytes]:
@@ -658,14 +805,13 @@ def files(media: bytes) -> Iterator[bytes]:
         at += size
 
 
-def payload_of(pixels: np.ndarray) -> bytes:
-    """The payload's bytes: green, red, blue, alpha of each pixel in turn."""
-    channels = np.ascontiguousarray(pixels).view(np.uint8).reshape(-1, 4)
-    return channels[:, [1, 2, 0, 3]].tobytes()
+def sample_arrays(media: bytes) -> list[np.ndarray]:
+    """The pixel arrays of a media value's images: green samples, (height, width) of unsigned 8 bits."""
+    return [((decode(f) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8) for f in files(media)]
 
 
 def decode_media(media: bytes) -> bytes:
-    return b"".join(payload_of(decode(f)) for f in files(media))
+    return b"".join(x.tobytes() for x in sample_arrays(media))
 
 
 def feature(payload: bytes) -> str:
@@ -695,18 +841,39 @@ def media_column(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), make, MEDIA)
 
 
-def read_back(media: DataFrame) -> DataFrame:
+PIXELS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
+    T.StructField("images", T.ArrayType(T.StructType([
+        T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("samples", T.BinaryType()),
+    ]))),
+])
+
+
+def pixel_arrays(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, images: the decoded pixel arrays of each media value, rows of samples one after another."""
+
     def make():
         def batch(rows: dict) -> dict:
-            payloads = [decode_media(m) for m in rows["media"]]
-            return {
-                "doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "payload_bytes": [len(p) for p in payloads], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
-                "tail_crc32": [zlib.crc32(p[-64:]) for p in payloads], "media_bytes": [len(m) for m in rows["media"]], "media_sha256": [hashlib.sha256(m).hexdigest() for m in rows["media"]], "feature": [feature(p) for p in payloads],
-            }
+            images = [[{"height": x.shape[0], "width": x.shape[1], "samples": x.tobytes()} for x in sample_arrays(m)] for m in rows["media"]]
+            return {"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "images": images}
 
         return batch
 
-    return arrow_map(media, make, BACK)
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), make, PIXELS)
+
+
+def read_back(media: DataFrame) -> DataFrame:
+    """Digests and features of the decoded pixel arrays, and of the stored form."""
+
+    def row(doc_id: int | None, n_bytes: int, stored_form: bytes) -> tuple:
+        payload = decode_media(stored_form)
+        digest, form = hashlib.sha256(payload).hexdigest(), hashlib.sha256(stored_form).hexdigest()
+        return doc_id, n_bytes, len(payload), digest, zlib.crc32(payload[-64:]), len(stored_form), form, feature(payload)
+
+    def make():
+        return lambda rows: dict(zip(BACK.names, zip(*map(row, rows["doc_id"], rows["n_bytes"], rows["media"]), strict=True), strict=True))
+
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), make, BACK)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

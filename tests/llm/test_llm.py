@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -307,14 +308,94 @@ def test_webp_transforms_round_trip(cache):
             assert (webp.decode(webp.encode(pixels, (), cache, True, (2, rng.integers(0, 3, n(2))))) == pixels).all()
 
 
-def test_media_column_round_trip(docs):
-    got = webp.read_back(webp.media_column(docs)).collect()
+def webp_file(*fields):
+    """A file of (value, bits) fields by the format's description, lowest bit first; not by the encoder under test."""
+    value = size = 0
+    for v, n in fields:
+        value, size = value | v << size, size + n
+    stream = b"\x2f" + value.to_bytes((size + 7) // 8, "little")
+    body = b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) % 2)
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+def size_of(width, height):
+    return [(width - 1, 14), (height - 1, 14), (1, 1), (0, 3)]
+
+
+def lone(*symbols):
+    return [f for s in symbols for f in ((1, 1), (0, 1), (1, 1), (s, 8))]
+
+
+def pair(a, b):
+    return [(1, 1), (1, 1), (1, 1), (a, 8), (b, 8)]
+
+
+def one_bit(alphabet, *used):
+    """Two used symbols of one bit each, in the long form: code lengths 0 and 1 take one bit each."""
+    return [(0, 1), (0, 4), (0, 3), (0, 3), (1, 3), (1, 3), (0, 1), *((int(k in used), 1) for k in range(alphabet))]
+
+
+def test_webp_decodes_files_of_others():
+    known = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")  # a widely used probe for lossless support
+    assert webp.decode(known).tolist() == [[0]]
+    colour = 0xFF010702
+    key = (0x1E35A7BD * colour & 0xFFFFFFFF) >> 31
+    cache = webp_file(*size_of(3, 1), (0, 1), (1, 1), (1, 4), (0, 1), *one_bit(282, 7, 280 + key), *lone(1, 2, 255, 0), (0, 1), (1, 1), (1, 1))
+    assert webp.decode(cache).tolist() == [[colour] * 3]
+    copied = webp_file(*size_of(4, 2), (0, 1), (0, 1), (0, 1), *one_bit(280, 7, 261), *lone(1, 2, 255, 1), (0, 1), (1, 1), (0, 1))
+    assert webp.decode(copied).tolist() == [[colour] * 4] * 2
+    with pytest.raises(ValueError):
+        webp.decode(webp_file(*size_of(4, 2), (0, 1), (0, 1), (0, 1), *one_bit(280, 7, 261), *lone(1, 2, 255, 40 - 1), (0, 1), (1, 1), (0, 30)))
+
+
+@pytest.mark.parametrize(("mode", "last"), [(0, 4), (1, 6), (2, 9), (3, 6), (4, 5), (5, 7), (6, 5), (7, 7), (8, 7), (9, 7), (10, 6), (11, 9), (12, 10), (13, 8)])
+def test_webp_predictors_by_hand(mode, last):
+    # residuals of green 1, 4, 1, 4: pixels 1, 5 (left), 2 (above), and the mode's guess from 2 (left), 5, 1 (corner), 2 (right of above) and 4
+    head = [(1, 1), (webp.PREDICTOR, 2), (0, 3), (0, 1), *lone(mode, 0, 0, 255, 0)]
+    data = webp_file(*size_of(2, 2), *head, (0, 1), (0, 1), (0, 1), *pair(1, 4), *lone(0, 0, 0, 0), (0, 1), (1, 1), (0, 1), (1, 1))
+    assert (webp.decode(data) >> 8 & 255).tolist() == [[1, 5], [2, last]] and (webp.decode(data) >> 24 == 255).all()
+
+
+def test_webp_colour_transforms_by_hand():
+    # green to red 1.0, green to blue -1.0, red to blue 0.5 of residuals red 1, green 5, blue 10
+    cross = [(1, 1), (webp.CROSS_COLOUR, 2), (0, 3), (0, 1), *lone(0xE0, 16, 32, 255, 0)]
+    data = webp_file(*size_of(1, 1), *cross, (0, 1), (0, 1), (0, 1), *lone(5, 1, 10, 255, 0))
+    assert webp.decode(data).tolist() == [[0xFF060508]]
+    data = webp_file(*size_of(1, 1), (1, 1), (webp.SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1), *lone(5, 1, 255, 9, 0))
+    assert webp.decode(data).tolist() == [[0x09060504]]
+    palette = [(1, 1), (webp.PALETTE, 2), (1, 8), (0, 1), *pair(1, 34), *pair(1, 17), *pair(1, 51), *pair(0, 255), *lone(0), (15, 4), (0, 4)]
+    data = webp_file(*size_of(3, 1), *palette, (0, 1), (0, 1), (0, 1), *lone(0b101, 0, 0, 255, 0))
+    assert webp.decode(data).tolist() == [[0xFF122334, 0xFF112233, 0xFF122334]]
+
+
+def test_webp_payloads_use_palette_prediction_and_references():
+    r = np.random.default_rng(7)
+    walk = np.cumsum(r.integers(0, 3, 64 * 300)).astype(np.uint8).tobytes()
+    passage = r.integers(0, 256, 640, dtype=np.uint8).tobytes()
+    for payload in [bytes(64), b"ab" * 3200, walk, passage * 9, bytes(range(256)) * 5000, b"x" * (1 << 21)]:
+        media = webp.encode_media(payload)
+        assert webp.decode_media(media) == payload and all(len(f) <= len(payload) + 400 for f in webp.files(media))
+    assert len(webp.encode_media(passage * 9)) < 1.3 * len(passage)
+    kinds = {int.from_bytes(webp.encode_payload(p)[21:30], "little") >> 33 & 3 for p in (walk, b"ab" * 3200)}
+    assert kinds == {webp.PREDICTOR, webp.PALETTE}
+
+
+def test_media_column_round_trip(spark, docs):
+    media = webp.media_column(docs).cache()
+    stored_forms = {}
+    for x in media.collect():
+        stored_forms.setdefault(x.doc_id, []).append(bytes(x.media))
+    got = webp.read_back(media).collect()
     for x in got:
         texts = [r.text for r in docs.collect() if r.doc_id == x.doc_id]
-        payloads = [webp.pack_text(t)[1] for t in texts]
-        assert x.payload_sha256 in {hashlib.sha256(p).hexdigest() for p in payloads} and x.payload_bytes % 64 == 0 < x.payload_bytes
+        raw = {hashlib.sha256(p).hexdigest(): (n, p) for n, p in ((len((t or "").encode()), (t or "").encode() + bytes(-len((t or "").encode()) % 64 or 64 * (not t))) for t in texts)}
+        n, p = raw[x.payload_sha256]
+        assert (x.n_bytes, x.payload_bytes, x.tail_crc32) == (n, len(p), zlib.crc32(p[-64:])) and len(p) % 64 == 0 < len(p)
+        assert (x.media_bytes, x.media_sha256) in {(len(m), hashlib.sha256(m).hexdigest()) for m in stored_forms[x.doc_id]}
+    for x in webp.pixel_arrays(media).collect():
+        assert sum(i.height * i.width for i in x.images) == sum(len(i.samples) for i in x.images) >= x.n_bytes
     same = [tuple(x[1:]) for x in got if x.doc_id in (8, 9)]
-    assert same[0] == same[1]
+    assert same[0] == same[1] and webp.read_back(webp.media_column(docs.where("false"))).count() == 0
 
 
 def test_main_text_on_unseen_pages():
