@@ -3,12 +3,18 @@
 Base: four patterns, leftmost non-overlapping matches of each kind, those that fail its check dropped.  Start and end are
 code points, summed from the lengths of the matches and of the text between them.
 
-Contextual: base spans are the seeds.  The one and the two words before a span are its lexical patterns (of its kind).
-Strings of a looser shape that no base span touches are candidates, with the same patterns.  Over the graph of patterns and
-instances, ROUNDS times: a pattern's confidence is the summed score of the occurrences it introduces over all occurrences of
-its words in all documents (as words or as the start of one, where a value may follow), if it introduces LEAST_SEEDS distinct seed values at least; a candidate
-value's score is 1 - product of (1 - confidence) over its patterns.  Candidates scoring LEAST_SCORE at least become spans.
-Counts are over all documents; patterns and values are joined by key, never broadcast by hand or collected.
+Contextual: base spans are the seeds.  The one and the two words before a span are its lexical patterns (of its kind); a word
+of over 40 characters is no lexical pattern.  Strings of a looser shape that no base span touches are candidates, with the same
+patterns.  Over the graph of patterns and instances, seeds are accepted values from the start.  In each round, a pattern that
+introduces LEAST_SEEDS distinct accepted values at least has a confidence: the summed score of the accepted values'
+occurrences that it introduces, over all occurrences of its words in all documents (as words or as the start of one, where a
+value may follow).  A candidate value's score is 1 - product of (1 - confidence) over its patterns; with LEAST_SCORE at least
+it is accepted, counts for its other patterns and so brings in new ones.  Rounds end when none accepts another value; as no
+value is ever given up, they do end.  Accepted candidates become spans.
+
+Counts are over all documents.  Occurrences are counted before they meet the patterns: what a bitmap of fixed size (BITMAP
+bits, sent to all tasks) lets pass is summed by cue, so a word that is everywhere is one row a task.  Values and patterns
+are likewise summed before any join.
 
 Defined cases: null text is the empty text, with no spans; repeated rows are found each for itself; ties cannot arise, as
 spans are ordered by kind, start and end; an empty table gives no rows; extra columns are not read.
@@ -24,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import documents, stored
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, LEAST_SEEDS, LEAST_SCORE = 2, 5, 0.8
+LEAST_SEEDS, LEAST_SCORE = 5, 0.8
+#: Bits of the map of patterns that words are tested against before they are counted.
+BITMAP = 1 << 22
 #: A match starts where a run of its first characters starts, or where the match before it ended; so a run is tried once.
 _AT = {"email": r"(?:(?<![A-Za-z0-9._%+-])|\G)", "digit": r"(?:(?<![0-9])|\G)"}
 BASE = {
@@ -98,18 +106,23 @@ def _key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64("text").alias("h")]
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, *carried: str) -> DataFrame:
     """Each row of docs (doc_id, text) with its base spans, and seen: these and the free candidates, with their cues."""
     t = F.col("text")
-    docs = docs.select(*_key(), F.coalesce(t, F.lit("")).alias("text")).select("doc_id", "h", "text", *_base(t))
+    docs = docs.select(*carried, *_key(), F.coalesce(t, F.lit("")).alias("text")).select(*carried, "doc_id", "h", "text", *_base(t))
     every = F.concat(*KINDS)
     marked = t.rlike(MARKED)
     docs = docs.withColumn("loose", F.concat(*[_kinded(k, spans(t, LOOSE[k], marked, k, loose=True)) for k in KINDS]))
     free = F.filter("loose", lambda x: ~F.exists(every, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     known = F.concat(*[_kinded(k, F.col(k)) for k in KINDS])
-    with_cues = lambda spans_, seed: F.transform(spans_, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.lit(seed).alias("seed"), _cues(t, x["start"]).alias("cues")))
+
+    def with_cues(found: Column, seed: bool) -> Column:
+        parts = ("kind", "start", "end", "value")
+        return F.transform(found, lambda x: F.struct(*(x[c].alias(c) for c in parts), F.lit(seed).alias("seed"), _cues(t, x["start"]).alias("cues")))
+
     plain = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS]
-    return docs.select("doc_id", "h", *plain, F.concat(with_cues(known, True), with_cues(free, False)).alias("seen"))
+    seen = F.concat(with_cues(known, True), with_cues(free, False)).alias("seen")
+    return docs.select(*carried, "doc_id", "h", *plain, seen)
 
 
 def _said_cues(docs: DataFrame) -> DataFrame:
@@ -123,26 +136,54 @@ def _said_cues(docs: DataFrame) -> DataFrame:
     return said.select(F.explode(F.array_compact(F.array("one", F.concat("last", F.lit(" "), "one")))).alias("cue")).select(F.lower("cue").alias("cue"))
 
 
+def _maybe(said: DataFrame, able: DataFrame) -> DataFrame:
+    """Rows of said whose cue may be one of able: those whose bit is set in a map of BITMAP bits, a table of BITMAP / 64 rows at most."""
+    bit = F.pmod(F.xxhash64("cue"), F.lit(BITMAP))
+    mask = F.expr("shiftleft(1L, cast(b % 64 as int))")
+    words = able.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(mask).alias("bits"))
+    tested = said.withColumn("b", bit).withColumn("w", F.floor(F.col("b") / 64))
+    return tested.join(F.broadcast(words), "w").where(F.col("bits").bitwiseAND(mask) != 0).select("cue")
+
+
+def _graph(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """kind, cue, value, seed, n (occurrences of the value behind the cue), total (occurrences of the cue): cues of LEAST_SEEDS values at least."""
+    edges = seen.select("kind", "value", "seed", F.explode("cues").alias("cue")).groupBy("kind", "cue", "value", "seed").agg(F.count("*").alias("n"))
+    edges = stored(edges, "edges")
+    able = edges.groupBy("kind", "cue").agg(F.countDistinct("value").alias("values"), F.sum("n").alias("least"))
+    able = stored(able.where(F.col("values") >= LEAST_SEEDS).drop("values"), "patterns")
+    total = _maybe(_said_cues(docs), able.select("cue").distinct()).groupBy("cue").agg(F.count("*").alias("total"))
+    # a value that starts where _INSIDE does not look (after another match) is an occurrence too
+    totals = able.join(total, "cue", "left").select("kind", "cue", F.greatest("total", "least").alias("total"))
+    return stored(edges.join(totals, ["kind", "cue"]), "graph")
+
+
+def accepted_values(graph: DataFrame) -> DataFrame:
+    """kind, value of the candidates that the rounds accept."""
+    seeds = graph.where("seed").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
+    found, n = None, 0
+    while True:
+        known = seeds if found is None else seeds.unionByName(found.join(seeds.select("kind", "value"), ["kind", "value"], "left_anti"))
+        trusted = graph.join(known, ["kind", "value"])
+        trust = trusted.groupBy("kind", "cue").agg(
+            F.least(F.lit(1.0), F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("trust"), F.countDistinct("value").alias("values")
+        )
+        trust = trust.where(F.col("values") >= LEAST_SEEDS).select("kind", "cue", "trust")
+        doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))
+        scores = graph.where("NOT seed").select("kind", "cue", "value").join(trust, ["kind", "cue"]).groupBy("kind", "value").agg((1 - F.exp(doubt)).alias("score"))
+        now = scores.where(F.col("score") >= LEAST_SCORE)
+        if found is not None:  # none is given up, and no score falls
+            now = now.unionByName(found).groupBy("kind", "value").agg(F.max("score").alias("score"))
+        found, before = stored(now, "accepted"), n
+        n = found.count()
+        if n == before:
+            return found.select("kind", "value")
+
+
 def contextual(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, h, kind, start, end of the candidates that the graph accepts."""
     seen = found.where(F.size("seen") > 0).select("doc_id", "h", F.explode("seen").alias("s")).select("doc_id", "h", "s.*")
-    edges = stored(seen.select("kind", "value", "seed", F.explode("cues").alias("cue")), "edges")
-    able = edges.where("seed").groupBy("kind", "cue").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("kind", "cue")
-    able = stored(able, "patterns")
-    total = _said_cues(docs).join(able.select("cue").distinct(), "cue", "left_semi").groupBy("cue").agg(F.count("*").alias("total"))
-    patterns = able.join(total, "cue", "left")
-    graph = stored(edges.join(patterns, ["kind", "cue"]).groupBy("kind", "cue", "value", "seed", "total").agg(F.count("*").alias("n")), "graph")
-    # a value that starts where _INSIDE does not look (after another match) is an occurrence too
-    introduced = graph.groupBy("kind", "cue").agg(F.sum("n").alias("least"))
-    graph = stored(graph.join(introduced, ["kind", "cue"]).withColumn("total", F.greatest("total", "least")).drop("least"), "graph")
-    scores = None
-    for _ in range(ROUNDS):
-        scored = graph.withColumn("score", F.col("seed").cast("double")) if scores is None else graph.join(scores, ["kind", "value"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        trust = scored.groupBy("kind", "cue").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("trust"))
-        doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))
-        scores = stored(graph.where("NOT seed").select("kind", "cue", "value").distinct().join(trust, ["kind", "cue"]).groupBy("kind", "value").agg((1 - F.exp(doubt)).alias("score")), "scores")
-    accepted = scores.where(F.col("score") >= LEAST_SCORE).select("kind", "value")
-    return seen.where("NOT seed").select("doc_id", "h", "kind", "start", "end", "value").join(accepted, ["kind", "value"], "left_semi").select("doc_id", "h", "kind", "start", "end")
+    accepted = accepted_values(_graph(docs, seen))
+    return seen.where("NOT seed").join(accepted, ["kind", "value"], "left_semi").select("doc_id", "h", "kind", "start", "end")
 
 
 _MORE = "array<struct<kind:string,start:int,end:int>>"
@@ -198,15 +239,17 @@ def masked(text: Column) -> Column:
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text masked; other columns as they are, n_chars (if there) of the new text."""
-    plain = docs.select(F.col("doc_id"), F.col("text"))
-    more = additions(plain, stored(find(plain).where(F.size("seen") > 0), "found"))
-    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id"), F.col("text")).select("_doc", *_key(), F.col("text"))
-    rows = _with_more(rows.select("_doc", "doc_id", "h", "text", *[F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k, c in zip(KINDS, _base(F.coalesce("text", F.lit(""))), strict=True)]), more)
-    rows = rows.select("_doc", masked(F.col("text")).alias("_text"))
+    """docs with personal data in text masked; other columns as they are, n_chars (if there) of the new text.
+
+    The patterns run once: rows are stored with their spans, and masked from there."""
+    whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id"), F.col("text"))
+    found = stored(find(whole, "_doc"), "found")
+    rows = _with_more(found.drop("seen"), additions(docs.select("doc_id", "text"), found.drop("_doc")))
+    rows = rows.select("_doc", masked(F.col("_doc.text")).alias("_text"))
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_text") == F.col("_doc.text"), F.col("_doc.n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)
+        same = F.col("_text") == F.col("_doc.text")
+        changed["n_chars"] = F.when(same, F.col("_doc.n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[changed.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 

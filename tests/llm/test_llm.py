@@ -272,6 +272,15 @@ def test_pii_contexts_that_touch_their_value(spark):
     assert phones(spark, [*quoted, 'x say "312-555-9876" now'])[8] == "phone:7:19"
 
 
+def test_pii_accepted_values_bring_new_patterns(spark):
+    seeds = [f"hotline +1 (3{k}) 555-01{k} now" for k in range(10, 50)]
+    middle = [f"{w} hotline 312 555 980{k} now and ring 312 555 980{k} again" for k, w in enumerate("abcdef")]
+    last = ["x ring 312 555 7000 again", "y score 312 555 7001 again"]
+    got = phones(spark, [*seeds, *middle, *last])
+    assert all(x.count("phone") == 2 for x in got[40:46]) and got[46:] == ["phone:7:19", ""]
+    assert phones(spark, [*seeds[:3], *middle, *last])[3:] == [""] * 8
+
+
 def test_pii_counts_what_the_contexts_give(spark):
     text = 'Call tel:+1 (312) 555-0100 or ip=10.0.0.1, "312-555-9876" <a@b.c> x(1) v=fe80::1'
     cues = {x.cue for x in pii._said_cues(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()}
