@@ -6,13 +6,13 @@ code points, summed from the lengths of the matches and of the text between them
 Contextual: base spans are the seeds.  The one and the two words before a span are its lexical patterns (of its kind); a word
 of over 40 characters is no lexical pattern.  Strings of a looser shape that no base span touches are candidates, with the same
 patterns.  Over the graph of patterns and instances, seeds are accepted values from the start.  In each round, a pattern that
-introduces LEAST_SEEDS distinct accepted values at least has a confidence: the summed score of the accepted values'
-occurrences that it introduces, over all occurrences of its words in all documents (as words or as the start of one, where a
+introduces LEAST_SEEDS distinct accepted values at least has a confidence: the occurrences of accepted values that it
+introduces, over all occurrences of its words in all documents (as words or as the start of one, where a
 value may follow).  A candidate value's score is 1 - product of (1 - confidence) over its patterns; with LEAST_SCORE at least
-it is accepted, counts for its other patterns and so brings in new ones.  Rounds end when none accepts another value; as no
+it is accepted, counts for its other patterns as a seed does and so brings in new ones.  Rounds end when none accepts another value; as no
 value is ever given up, they do end.  Accepted candidates become spans.
 
-Counts are over all documents.  Occurrences are counted before they meet the patterns: what a bitmap of fixed size (BITMAP
+Counts are over all documents.  Occurrences are counted before they meet the patterns: what a map of fixed size (BITMAP
 bits, sent to all tasks) lets pass is summed by cue, so a word that is everywhere is one row a task.  Values and patterns
 are likewise summed before any join.
 
@@ -53,6 +53,8 @@ _HINT = {"email": "instr({t}, '@') > 0", "ip": r"{t} RLIKE '[0-9][.][0-9]'", "ca
 MARKED = r"[0-9@]|[(\[{]at[)\]}]"
 #: Positions inside a word where a value may start: a run of digits or of an address's characters, a sign or bracket before a digit, groups of an IP.
 _INSIDE = r"(?<=[^0-9\s])(?=[0-9])|(?<=\S)(?=[+(][0-9])|(?<=[^A-Za-z0-9._%+\s-])(?=[A-Za-z0-9._%+-])|(?<=[^0-9A-Fa-f:.\s])(?=[0-9A-Fa-f]{0,4}:)"
+#: What a word holds at least where _INSIDE finds a place in it.
+_SPECIAL = r"[^A-Za-z._%+-]"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -125,24 +127,34 @@ def find(docs: DataFrame, *carried: str) -> DataFrame:
     return docs.select(*carried, "doc_id", "h", *plain, seen)
 
 
-def _said_cues(docs: DataFrame) -> DataFrame:
-    """All occurrences of what _cues can give: each word and each start of it that a value may follow, alone and after the word before it."""
-    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
-    pairs = docs.select(w.alias("w")).select(F.explode(F.zip_with(F.concat(F.array(F.lit(None).cast("string")), "w"), "w", lambda a, b: F.struct(a.alias("last"), b.alias("word")))).alias("p")).select("p.*").where("word IS NOT NULL")
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP))
+
+
+def _said_cues(docs: DataFrame, able: DataFrame | None = None) -> DataFrame:
+    """Occurrences of what _cues can give: each word and each start of it that a value may follow, alone and after the word before it.
+
+    With able (cue), a word or start goes at once if it is none of able by a map of BITMAP bits, a table of BITMAP / 64 rows at
+    most; a two-word cue counts only where its last word does, as that has all its values."""
+    w = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
+    pairs = docs.select(F.inline(F.arrays_zip(F.concat(F.array(F.lit("")), w).alias("last"), w.alias("word")))).where("word <> ''")
     parts = F.split(F.substring("word", 1, 46), _INSIDE, -1)
     starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ""))
-    starts = F.when(F.col("word").rlike(_INSIDE), F.filter(starts, lambda x: (x != "") & (F.length(x) <= 40))).otherwise(F.array().cast("array<string>"))
-    said = pairs.select("last", F.explode(F.concat(F.array("word"), starts)).alias("one"))
-    return said.select(F.explode(F.array_compact(F.array("one", F.concat("last", F.lit(" "), "one")))).alias("cue")).select(F.lower("cue").alias("cue"))
+    starts = F.filter(starts, lambda x: (x != "") & (F.length(x) <= 40))
+    many = F.col("word").rlike(_SPECIAL) & F.col("word").rlike(_INSIDE)
+    said = pairs.select("last", F.explode(F.when(many, F.concat(F.array("word"), starts)).otherwise(F.array("word"))).alias("one"))
+    two = F.when(F.col("last") != "", F.concat("last", F.lit(" "), "one"))
+    cues = F.explode(F.array_compact(F.array("one", two))).alias("cue")
+    if able is None:
+        return said.select(cues)
+    mask = F.expr("shiftleft(1L, cast(b % 64 as int))")
+    words = able.select(_bit("cue").alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(mask).alias("bits"))
 
+    def passing(rows: DataFrame, column: str) -> DataFrame:
+        tested = rows.withColumn("b", _bit(column)).withColumn("w", F.floor(F.col("b") / 64)).join(F.broadcast(words), "w")
+        return tested.where(F.col("bits").bitwiseAND(mask) != 0).select(rows.columns)
 
-def _maybe(said: DataFrame, able: DataFrame) -> DataFrame:
-    """Rows of said whose cue may be one of able: those whose bit is set in a map of BITMAP bits, a table of BITMAP / 64 rows at most."""
-    bit = F.pmod(F.xxhash64("cue"), F.lit(BITMAP))
-    mask = F.expr("shiftleft(1L, cast(b % 64 as int))")
-    words = able.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(mask).alias("bits"))
-    tested = said.withColumn("b", bit).withColumn("w", F.floor(F.col("b") / 64))
-    return tested.join(F.broadcast(words), "w").where(F.col("bits").bitwiseAND(mask) != 0).select("cue")
+    return passing(passing(said, "one").select(cues), "cue")
 
 
 def _graph(docs: DataFrame, seen: DataFrame) -> DataFrame:
@@ -151,7 +163,7 @@ def _graph(docs: DataFrame, seen: DataFrame) -> DataFrame:
     edges = stored(edges, "edges")
     able = edges.groupBy("kind", "cue").agg(F.countDistinct("value").alias("values"), F.sum("n").alias("least"))
     able = stored(able.where(F.col("values") >= LEAST_SEEDS).drop("values"), "patterns")
-    total = _maybe(_said_cues(docs), able.select("cue").distinct()).groupBy("cue").agg(F.count("*").alias("total"))
+    total = _said_cues(docs, able.select("cue").distinct()).groupBy("cue").agg(F.count("*").alias("total"))
     # a value that starts where _INSIDE does not look (after another match) is an occurrence too
     totals = able.join(total, "cue", "left").select("kind", "cue", F.greatest("total", "least").alias("total"))
     return stored(edges.join(totals, ["kind", "cue"]), "graph")
@@ -159,24 +171,19 @@ def _graph(docs: DataFrame, seen: DataFrame) -> DataFrame:
 
 def accepted_values(graph: DataFrame) -> DataFrame:
     """kind, value of the candidates that the rounds accept."""
-    seeds = graph.where("seed").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
+    known = graph.where("seed").select("kind", "value").distinct()
     found, n = None, 0
     while True:
-        known = seeds if found is None else seeds.unionByName(found.join(seeds.select("kind", "value"), ["kind", "value"], "left_anti"))
-        trusted = graph.join(known, ["kind", "value"])
-        trust = trusted.groupBy("kind", "cue").agg(
-            F.least(F.lit(1.0), F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("trust"), F.countDistinct("value").alias("values")
-        )
+        every = known if found is None else known.unionByName(found).distinct()
+        trusted = graph.join(every, ["kind", "value"])
+        trust = trusted.groupBy("kind", "cue").agg(F.least(F.lit(1.0), F.sum("n") / F.first("total")).alias("trust"), F.countDistinct("value").alias("values"))
         trust = trust.where(F.col("values") >= LEAST_SEEDS).select("kind", "cue", "trust")
         doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))
-        scores = graph.where("NOT seed").select("kind", "cue", "value").join(trust, ["kind", "cue"]).groupBy("kind", "value").agg((1 - F.exp(doubt)).alias("score"))
-        now = scores.where(F.col("score") >= LEAST_SCORE)
-        if found is not None:  # none is given up, and no score falls
-            now = now.unionByName(found).groupBy("kind", "value").agg(F.max("score").alias("score"))
-        found, before = stored(now, "accepted"), n
-        n = found.count()
+        scores = graph.where("NOT seed").join(trust, ["kind", "cue"]).groupBy("kind", "value").agg((1 - F.exp(doubt)).alias("score"))
+        found, before = stored(scores.where(F.col("score") >= LEAST_SCORE).select("kind", "value"), "accepted"), n
+        n = found.count()  # trust never falls, so none is given up
         if n == before:
-            return found.select("kind", "value")
+            return found
 
 
 def contextual(docs: DataFrame, found: DataFrame) -> DataFrame:
