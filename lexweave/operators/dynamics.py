@@ -1,23 +1,36 @@
 """Guided walks over spectra, and their statistics.
 
-All walks step together: a step joins the walkers to their words' bins and to the pair index by key, and picks a candidate by hash, so
-runs repeat; walkers that died leave, and each step is a written table. A walker's own state is two arrays of at most max_steps words.
+A walk's path needs only its words' sets, so paths are walked first, each in one task: chains beside the first bins of their
+corpus (a hundredth of its pairs, the same for every walk), sweeps beside the bins of their two start words.  Scores and
+percentiles come to the steps in one join afterwards.  A pick is the md5 of the seed, the step, the side and the walk's keys,
+modulo the sorted pool, so runs repeat and SQL can check them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..tables import written
 
+# Start percentiles, the last level of histograms.
 START_PERCENTILES = (1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80, 85, 90, 95, 100)
 MAX_TL = 25
 #: Edges of the score histogram: 0, then ten to a decade from 1 to 10 ** 8.
 SOD_EDGES = [0.0, *(10 ** (k / 10) for k in range(81))]
 KEYS = ["corpus", "start_pctl", "variant", "a", "b", "traj"]
+#: Tasks that the chains of a corpus are dealt to.
+PARTS = 16
+BINS = 100
+PATH = T.StructType([
+    T.StructField("corpus", T.StringType()), T.StructField("start_pctl", T.IntegerType()), T.StructField("variant", T.StringType()),
+    *[T.StructField(c, T.IntegerType()) for c in ("a", "b", "traj", "step", "cur_a", "cur_b")], T.StructField("death", T.StringType()),
+])
 
 
 def start_pairs(mutual: DataFrame, trajectories: int, percentiles: tuple[int, ...] = START_PERCENTILES) -> DataFrame:
@@ -27,55 +40,97 @@ def start_pairs(mutual: DataFrame, trajectories: int, percentiles: tuple[int, ..
     return both.withColumn("traj", F.explode(F.sequence(F.lit(0), F.lit(trajectories - 1)))).select(*KEYS)
 
 
-def _pick(pool: Column, *parts: Column | str) -> Column:
-    return F.try_element_at(pool, (F.pmod(F.xxhash64(*parts), F.size(pool)) + 1).cast("int"))
+def pick(pool: list[int], seed: int, step: int, side: str, keys: str) -> int:
+    """One of a sorted pool."""
+    return pool[int(hashlib.md5(f"{seed}|{step}|{side}|{keys}".encode()).hexdigest()[:8], 16) % len(pool)]
+
+
+def _death(pool_a: list[int], pool_b: list[int]) -> str | None:
+    return None if pool_a and pool_b else "pool_b" if pool_a else "pool_a" if pool_b else "both"
+
+
+def chain(keys: tuple, sets: dict[int, list[int]], max_steps: int, seed: int) -> Iterator[tuple]:
+    """Steps of a walk whose walkers go to partners in the first bin of their word, not used by the other walker, rather ones
+    that have such a bin themselves."""
+    a, b = keys[3], keys[4]
+    name, used_a, used_b = "|".join(map(str, keys)), {a}, {b}
+    yield 0, a, b, None
+    for step in range(1, max_steps + 1):
+        if not sets.get(a) or not sets.get(b):
+            yield step, None, None, "no_bin"
+            return
+        pools = []
+        for at, used in ((a, used_b), (b, used_a)):
+            left = [x for x in sets[at] if x not in used]
+            pools.append([x for x in left if x in sets] or left)
+        if death := _death(*pools):
+            yield step, None, None, death
+            return
+        a, b = pick(pools[0], seed, step, "a", name), pick(pools[1], seed, step, "b", name)
+        used_a.add(a)
+        used_b.add(b)
+        yield step, a, b, None
+
+
+def sweep(keys: tuple, bins_a: dict[int, list[int]], bins_b: dict[int, list[int]], max_steps: int, seed: int) -> Iterator[tuple]:
+    """Steps of a walk that picks from one bin of the two start words after another."""
+    name, used_a, used_b = "|".join(map(str, keys)), set(), set()
+    for step in range(min(BINS, max_steps + 1)):
+        pool_a, pool_b = [x for x in bins_a.get(step + 1, ()) if x not in used_b], [x for x in bins_b.get(step + 1, ()) if x not in used_a]
+        if death := _death(pool_a, pool_b):
+            yield step, None, None, death
+            return
+        a, b = pick(pool_a, seed, step, "a", name), pick(pool_b, seed, step, "b", name)
+        used_a.add(a)
+        used_b.add(b)
+        yield step, a, b, None
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=PATH.names)
+    return out.astype({"cur_a": "Int32", "cur_b": "Int32"})
+
+
+def paths(starts: DataFrame, bins: DataFrame, max_steps: int, seed: int) -> DataFrame:
+    """(keys, step, cur_a, cur_b, death) of each walk's steps; the words are null where it died."""
+    first = bins.where("bin = 1").groupBy("corpus", "w").agg(F.sort_array(F.collect_list("partner")).alias("set"))
+    every = first.select(F.col("corpus").alias("of"), "w", "set", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("for_part"))
+    chains = starts.where("variant = 'chain'").withColumn("part", F.pmod(F.xxhash64(*KEYS), F.lit(PARTS)).cast("int"))
+
+    def walk_chains(walks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        sets = {int(w): [int(x) for x in s] for w, s in zip(rows["w"], rows["set"], strict=True)}
+        return _frame([(*keys, *x) for keys in walks[KEYS].itertuples(index=False, name=None) for x in chain(keys, sets, max_steps, seed)])
+
+    def walk_sweeps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for *keys, trajectories, set_a, set_b in batch.itertuples(index=False, name=None):
+                sides = [{x["bin"]: [int(y) for y in x["set"]] for x in s} for s in (set_a, set_b)]
+                for t in trajectories:
+                    rows += [(*keys, int(t), *x) for x in sweep((*keys, int(t)), *sides, max_steps, seed)]
+            yield _frame(rows)
+
+    per = bins.groupBy("corpus", "w", "bin").agg(F.sort_array(F.collect_list("partner")).alias("set"))
+    per = written(per.groupBy("corpus", "w").agg(F.collect_list(F.struct("bin", "set")).alias("bins")), "bins")
+    pairs = starts.where("variant = 'sweep'").groupBy(*KEYS[:-1]).agg(F.sort_array(F.collect_list("traj")).alias("trajectories"))
+    for side in "ab":
+        pairs = pairs.join(per.select("corpus", F.col("w").alias(side), F.col("bins").alias(f"bins_{side}")), ["corpus", side])
+    sweeps = pairs.select(*KEYS[:-1], "trajectories", "bins_a", "bins_b").mapInPandas(walk_sweeps, PATH)
+    walked = chains.groupBy("corpus", "part").cogroup(every.groupBy("of", "for_part")).applyInPandas(walk_chains, PATH)
+    return walked.unionByName(sweeps)
 
 
 def walk(starts: DataFrame, bins: DataFrame, ranked: DataFrame, max_steps: int = 100, seed: int = 0) -> DataFrame:
-    """(keys, step, sod, tl, pctl_a, pctl_b, prev_sod, death) of each walk's steps. bins: corpus, w, partner, bin; ranked: corpus, w, partner, sod, tl, pctl (null: 1).
-
-    Chain: each walker goes to a partner in the first bin of its word, not used by the other walker, rather one that has such a bin
-    itself. Sweep: step k picks from bin k + 1 of the two start words. A step whose words are no scored pair has null scores."""
-    first = bins.where("bin = 1").select("corpus", F.col("w").alias("partner")).distinct().withColumn("has", F.lit(True))
-    flagged = bins.join(first, ["corpus", "partner"], "left").groupBy("corpus", "w", "bin").agg(F.array_sort(F.collect_list(F.struct("partner", F.coalesce("has", F.lit(False)).alias("has")))).alias("set"))
-    flagged = written(flagged, "bins")
-    sides = {s: flagged.select("corpus", F.col("w").alias(f"at_{s}"), F.col("bin").alias("k"), F.col("set").alias(f"set_{s}")) for s in "ab"}
-    pairs = written(ranked.select("corpus", F.col("w").alias("cur_a"), F.col("partner").alias("cur_b"), "sod", "tl", F.coalesce("pctl", F.lit(1)).alias("pctl_a")).join(ranked.select("corpus", F.col("partner").alias("cur_a"), F.col("w").alias("cur_b"), F.coalesce("pctl", F.lit(1)).alias("pctl_b")), ["corpus", "cur_a", "cur_b"]), "pairs")
-
-    def scored(walkers: DataFrame) -> DataFrame:
-        return walkers.join(pairs, ["corpus", "cur_a", "cur_b"], "left").withColumn("pctl_a", F.coalesce("pctl_a", F.lit(-1))).withColumn("pctl_b", F.coalesce("pctl_b", F.lit(-1)))
-
-    record = [*KEYS, "step", "sod", "tl", "pctl_a", "pctl_b", "prev_sod", "death"]
-    none = F.array().cast("array<int>")
-    starts = starts.withColumn("cur_a", F.col("a")).withColumn("cur_b", F.col("b"))
-    chains = scored(starts.where("variant = 'chain'").withColumn("used_a", F.array("a")).withColumn("used_b", F.array("b")))
-    sweeps = starts.where("variant = 'sweep'").withColumn("used_a", none).withColumn("used_b", none)
-    out = [written(chains.withColumn("step", F.lit(0)).withColumn("prev_sod", F.lit(None).cast("long")).withColumn("death", F.lit(None).cast("string")).select(*record), "steps")]
-    state = [*KEYS, "cur_a", "cur_b", "used_a", "used_b"]
-    alive = written(chains.select(*state, F.col("sod").alias("prev_sod")).unionByName(sweeps.select(*state, F.lit(None).cast("long").alias("prev_sod"))), "walkers")
-    for step in range(max_steps + 1):
-        chain = F.col("variant") == "chain"
-        now = alive.where(chain & F.lit(step > 0) | ~chain & F.lit(step < 100))
-        now = now.withColumn("k", F.when(chain, 1).otherwise(step + 1)).withColumn("at_a", F.when(chain, F.col("cur_a")).otherwise(F.col("a"))).withColumn("at_b", F.when(chain, F.col("cur_b")).otherwise(F.col("b")))
-        now = now.join(sides["a"], ["corpus", "at_a", "k"], "left").join(sides["b"], ["corpus", "at_b", "k"], "left")
-        for s, other in (("a", "used_b"), ("b", "used_a")):
-            pool = F.col(f"set_{s}")
-            left = F.array_except(F.transform(pool, lambda x: x["partner"]), F.col(other))
-            liked = F.array_intersect(left, F.transform(F.filter(pool, lambda x: x["has"]), lambda x: x["partner"]))
-            now = now.withColumn(f"pool_{s}", F.coalesce(F.when(chain & (F.size(liked) > 0), liked).otherwise(left), none))
-        no_bin = chain & (F.col("set_a").isNull() | F.col("set_b").isNull())
-        empty_a, empty_b = F.size("pool_a") == 0, F.size("pool_b") == 0
-        now = now.withColumn("death", F.when(no_bin, "no_bin").when(empty_a & empty_b, "both").when(empty_a, "pool_a").when(empty_b, "pool_b"))
-        for s in "ab":
-            now = now.withColumn(f"cur_{s}", F.when(F.col("death").isNull(), _pick(F.col(f"pool_{s}"), F.lit(seed), F.lit(step), F.lit(s), *KEYS)))
-        now = scored(now.drop("set_a", "set_b", "pool_a", "pool_b")).withColumn("used_a", F.array_union("used_a", F.array("cur_a"))).withColumn("used_b", F.array_union("used_b", F.array("cur_b"))).withColumn("step", F.lit(step))
-        now = written(now.withColumn("prev_sod", F.when(F.lit(step > 0), F.col("prev_sod"))).select(*record, "cur_a", "cur_b", "used_a", "used_b"), "steps")
-        out.append(now.select(*record))
-        waiting = alive.where(chain) if step == 0 else alive.limit(0)
-        alive = now.where("death IS NULL").select(*state, F.col("sod").alias("prev_sod")).unionByName(waiting.select(*state, "prev_sod"))
-        if alive.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, out)
+    """(keys, step, sod, tl, pctl_a, pctl_b, prev_sod, death) of each walk's steps. bins: corpus, w, partner, bin; ranked: corpus, w,
+    partner, sod, tl, pctl (null: 1). A step whose words are no scored pair has null scores and percentiles of -1."""
+    steps = written(paths(starts, bins, max_steps, seed), "paths")
+    rank = F.coalesce("pctl", F.lit(1))
+    one = ranked.select("corpus", F.col("w").alias("cur_a"), F.col("partner").alias("cur_b"), "sod", "tl", rank.alias("pctl_a"))
+    other = ranked.select("corpus", F.col("partner").alias("cur_a"), F.col("w").alias("cur_b"), rank.alias("pctl_b"))
+    scored = steps.join(one.join(other, ["corpus", "cur_a", "cur_b"]), ["corpus", "cur_a", "cur_b"], "left")
+    previous = F.lag("sod").over(Window.partitionBy(*KEYS).orderBy("step")).alias("prev_sod")
+    none = F.lit(-1)
+    return scored.select(*KEYS, "step", "sod", "tl", F.coalesce("pctl_a", none).alias("pctl_a"), F.coalesce("pctl_b", none).alias("pctl_b"), previous, "death")
 
 
 def dynamics_stats(steps: DataFrame) -> DataFrame:

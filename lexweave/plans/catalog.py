@@ -16,8 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: Target lengths of definitions and their shares in tenths of a percent (fixed values).
-LENGTH_SHARES = [(1, 60), (2, 150), (3, 200), (4, 180), (5, 130), (6, 90), (7, 60), (8, 40), (9, 30), (10, 20), (12, 20), (15, 10), (20, 7), (25, 2)]
+# Target lengths of definitions and their shares in percent.
+LENGTH_SHARES = [(1, 6.0), (2, 15.0), (3, 20.0), (4, 18.0), (5, 13.0), (6, 9.0), (7, 6.0), (8, 4.0), (9, 3.0), (10, 2.0), (12, 2.0), (15, 1.0), (20, 0.7), (25, 0.2), (30, 0.1)]
 DEEPEST = 14
 
 
@@ -371,7 +371,46 @@ def log_histogram(spark, sf):
     return compare.log_histogram(_diffs(spark, sf))
 
 
-# Walks: the picks are hashes that SQL does not share, so these have no SQL and are tested by their invariants.
+# Walks ------------------------------------------------------------------------------------------------------------------------------------
+
+_KEY = "corpus || '|' || start_pctl || '|{variant}|' || a || '|' || b || '|' || traj"
+_CHOICE = "{pool}[1 + CAST(('0x' || substr(md5('0|' || (step + 1) || '|{side}|' || " + _KEY + "), 1, 8)) AS BIGINT) % len({pool})]"
+_DEATH = "WHEN len(pa) = 0 AND len(pb) = 0 THEN 'both' WHEN len(pa) = 0 THEN 'pool_a' WHEN len(pb) = 0 THEN 'pool_b' END AS death"
+
+
+def _choices(variant: str) -> str:
+    return ", ".join(f"CASE WHEN death IS NULL THEN {_CHOICE.format(pool=f'p{s}', side=s, variant=variant)} END AS n{s}" for s in "ab")
+
+
+def _left(items: str, used: str) -> str:
+    return f"list_filter({items}, lambda x: NOT list_contains({used}, x))"
+
+
+_WALK_KEYS = "corpus, start_pctl, a, b, traj"
+_STEPS = f"""{_MUTUAL},
+fs AS MATERIALIZED (SELECT corpus, w, list(partner ORDER BY partner) AS s FROM bins WHERE bin = 1 GROUP BY ALL),
+lk AS MATERIALIZED (SELECT corpus, w, s, coalesce(l, []) AS l FROM fs LEFT JOIN (SELECT x.corpus, x.w, list(x.partner ORDER BY x.partner) AS l
+  FROM bins x JOIN fs f ON f.corpus = x.corpus AND f.w = x.partner WHERE x.bin = 1 GROUP BY ALL) USING (corpus, w)),
+bl AS MATERIALIZED (SELECT corpus, w, bin, list(partner ORDER BY partner) AS s FROM bins GROUP BY ALL),
+st AS MATERIALIZED (SELECT corpus, bin AS start_pctl, a, b, CAST(traj AS INTEGER) AS traj FROM mutual, range(100) t(traj) WHERE bin IN {dynamics.START_PERCENTILES}),
+ch AS (SELECT {_WALK_KEYS}, 0 AS step, a AS ca, b AS cb, [a] AS ua, [b] AS ub, CAST(NULL AS VARCHAR) AS death FROM st
+  UNION ALL SELECT {_WALK_KEYS}, step + 1, na, nb, list_append(ua, na), list_append(ub, nb), death FROM (SELECT *, {_choices('chain')} FROM (
+    SELECT *, CASE WHEN sa IS NULL OR sb IS NULL THEN 'no_bin' {_DEATH} FROM (
+      SELECT ch.*, x.s AS sa, y.s AS sb, CASE WHEN len({_left('x.l', 'ub')}) > 0 THEN {_left('x.l', 'ub')} ELSE {_left('x.s', 'ub')} END AS pa,
+        CASE WHEN len({_left('y.l', 'ua')}) > 0 THEN {_left('y.l', 'ua')} ELSE {_left('y.s', 'ua')} END AS pb
+      FROM (SELECT * EXCLUDE (death) FROM ch WHERE death IS NULL AND step < 100) ch LEFT JOIN lk x ON x.corpus = ch.corpus AND x.w = ca LEFT JOIN lk y ON y.corpus = ch.corpus AND y.w = cb)))),
+sw AS (SELECT {_WALK_KEYS}, -1 AS step, CAST(NULL AS INTEGER) AS ca, CAST(NULL AS INTEGER) AS cb, CAST([] AS INTEGER[]) AS ua, CAST([] AS INTEGER[]) AS ub, CAST(NULL AS VARCHAR) AS death FROM st WHERE start_pctl = 1
+  UNION ALL SELECT {_WALK_KEYS}, step + 1, na, nb, list_append(ua, na), list_append(ub, nb), death FROM (SELECT *, {_choices('sweep')} FROM (
+    SELECT *, CASE {_DEATH} FROM (
+      SELECT sw.*, coalesce({_left('x.s', 'ub')}, []) AS pa, coalesce({_left('y.s', 'ua')}, []) AS pb
+      FROM (SELECT * EXCLUDE (death) FROM sw WHERE death IS NULL AND step < 99) sw LEFT JOIN bl x ON x.corpus = sw.corpus AND x.w = sw.a AND x.bin = step + 2 LEFT JOIN bl y ON y.corpus = sw.corpus AND y.w = sw.b AND y.bin = step + 2)))),
+pk AS MATERIALIZED (SELECT corpus, w, partner, CAST(least(100, greatest(1, ceil(CAST(100.0 AS DOUBLE) * count(*) OVER (PARTITION BY corpus, w ORDER BY sod RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) OVER (PARTITION BY corpus, w)))) AS INTEGER) AS pctl FROM sym WHERE sod > 0),
+ps AS MATERIALIZED (SELECT s.corpus, s.w, s.partner, sod, tl, coalesce(x.pctl, 1) AS pctl_a, coalesce(y.pctl, 1) AS pctl_b FROM sym s
+  LEFT JOIN pk x ON x.corpus = s.corpus AND x.w = s.w AND x.partner = s.partner LEFT JOIN pk y ON y.corpus = s.corpus AND y.w = s.partner AND y.partner = s.w),
+rec AS MATERIALIZED (SELECT r.corpus, start_pctl, variant, a, b, traj, step, sod, tl, coalesce(pctl_a, -1) AS pctl_a, coalesce(pctl_b, -1) AS pctl_b, death,
+  lag(sod) OVER (PARTITION BY r.corpus, start_pctl, variant, a, b, traj ORDER BY step) AS prev_sod
+  FROM (SELECT {_WALK_KEYS}, 'chain' AS variant, step, ca, cb, death FROM ch UNION ALL SELECT {_WALK_KEYS}, 'sweep', step, ca, cb, death FROM sw WHERE step >= 0) r
+  LEFT JOIN ps ON ps.corpus = r.corpus AND ps.w = ca AND ps.partner = cb)"""
 
 
 def _steps(spark, sf):
@@ -384,12 +423,46 @@ def _steps(spark, sf):
     return fx._once("steps", spark, sf, make)
 
 
-@query()
+def _moment(value: str, name: str) -> str:
+    return f"round(coalesce(sum({value}), 0.0), 6) AS {name}_sum, round(coalesce(sum(({value}) * ({value})), 0.0), 6) AS {name}_sq_sum"
+
+
+_WENT = {c: f"CASE WHEN death IS NULL{' AND ' + c + ' >= 0' if 'pctl' in c else ''} THEN CAST({c} AS DOUBLE) END" for c in ("sod", "tl", "pctl_a", "pctl_b")}
+_LOG = "CASE WHEN death IS NULL AND sod > 0 THEN ln(CAST(sod AS DOUBLE)) END"
+_DELTA = f"({_WENT['sod']}) - CAST(prev_sod AS DOUBLE)"
+
+
+@query(
+    "SELECT corpus, start_pctl, variant, step, CAST(count(*) FILTER (death IS NULL) AS BIGINT) AS count, "
+    + ", ".join([
+        *(_moment(v, c) for c, v in _WENT.items()),
+        f"round(coalesce(sum(({_WENT['sod']}) * ({_WENT['tl']})), 0.0), 6) AS sod_tl_sum",
+        f"round(coalesce(sum(({_WENT['pctl_a']}) * ({_WENT['pctl_b']})), 0.0), 6) AS pctl_ab_sum",
+        _moment(_LOG, "log_sod"), _moment(_DELTA, "delta_sod"), f"count({_DELTA}) AS delta_sod_count",
+        *(f"CAST(count(*) FILTER (death = '{d}') AS BIGINT) AS death_{d}" for d in ("pool_a", "pool_b", "both", "no_bin")),
+    ])
+    + " FROM rec GROUP BY corpus, start_pctl, variant, step",
+    True,
+    ctes=_STEPS,
+)
 def dynamics_stats(spark, sf):
-    return dynamics.dynamics_stats(_steps(spark, sf))
+    out = dynamics.dynamics_stats(_steps(spark, sf))
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith("_sum") else F.col(c) for c in out.columns])
+
 
+_EDGES = "[" + ", ".join(f"CAST('{e!r}' AS DOUBLE)" for e in dynamics.SOD_EDGES) + "]"
 
-@query()
+
+@query(
+    f"""SELECT corpus, start_pctl, variant, step, hist_type, CAST(bin_idx AS INTEGER) AS bin_idx, count(*) AS bin_count FROM (
+  SELECT corpus, start_pctl, variant, step, 'tl' AS hist_type, least(tl, {dynamics.MAX_TL}) AS bin_idx FROM rec WHERE death IS NULL AND sod IS NOT NULL
+  UNION ALL SELECT corpus, start_pctl, variant, step, 'pctl_a', pctl_a FROM rec WHERE death IS NULL AND sod IS NOT NULL AND pctl_a >= 1
+  UNION ALL SELECT corpus, start_pctl, variant, step, 'pctl_b', pctl_b FROM rec WHERE death IS NULL AND sod IS NOT NULL AND pctl_b >= 1
+  UNION ALL SELECT corpus, start_pctl, variant, step, 'sod', least(len(list_filter({_EDGES}, lambda e: e <= sod)) - 1, {len(dynamics.SOD_EDGES) - 2}) FROM rec WHERE death IS NULL AND sod IS NOT NULL
+  UNION ALL SELECT corpus, start_pctl, variant, -1, 'walk_len', count(*) FILTER (death IS NULL) FROM rec GROUP BY corpus, start_pctl, variant, a, b, traj) GROUP BY ALL""",
+    True,
+    ctes=_STEPS,
+)
 def dynamics_hist(spark, sf):
     return dynamics.dynamics_hist(_steps(spark, sf))
 
