@@ -86,6 +86,47 @@ def page_links(pages: DataFrame) -> DataFrame:
     return rows.select(F.regexp_extract("item", r'href="([^"]*)"', 1).alias("target"), F.regexp_extract("item", r">([^<]*)</a>", 1).alias("label")).distinct()
 
 
+def without_math(html: Column) -> Column:
+    """html with formula images replaced by their texts, and formula markup gone."""
+    plain = F.regexp_replace(html, r'(?s)<span[^>]*class="[^"]*mwe-math-mathml-inline[^"]*"[^>]*>.*?</span>', "")
+    image = r'<img(?=[^>]*class="[^"]*mwe-math-fallback-image-inline[^"]*")(?:(?!alt=)[^>])*alt="{alt}"[^>]*>'
+    inner = F.regexp_replace(plain, image.replace("{alt}", r"\{\\displaystyle ([^\"]*)\}"), "$1")
+    return F.regexp_replace(inner, image.replace("{alt}", r'([^"]*)'), "$1")
+
+
+def final_form(word: Column, html: Column) -> Column:
+    """The word that an entry points to: the first italic text without a question mark of its first definition, else the word itself."""
+    listed = F.regexp_extract(html, r"(?s)<ol[^>]*>(.*?)(?:</ol>|\z)", 1)
+    first = F.when(listed.rlike("<li"), F.regexp_extract(listed, r"(?s)<li[^>]*>(.*?)(?:</li>|\z)", 1)).otherwise(listed)
+    main = without_parentheses(cut_at_markers(first))
+    texts = F.transform(F.regexp_extract_all(main, F.lit(r"(?s)<i(?:\s[^>]*)?>(.*?)</i>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", "")))
+    return F.coalesce(F.try_element_at(F.filter(texts, lambda x: ~F.contains(x, F.lit("?"))), F.lit(1)), word)
+
+
+def quoted(word: Column) -> Column:
+    """Percent-encoded UTF-8 of all but letters, digits and _ . - ~."""
+    out = F.url_encode(word)
+    for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def joined_url(base: Column, link: Column) -> Column:
+    """A link made absolute: itself with a scheme, else under the base's scheme, host or folder."""
+    scheme, host = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    folder = F.when(folder == host, F.concat(host, F.lit("/"))).otherwise(folder)
+    out = F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link))
+    return out.when(link.startswith("/"), F.concat(host, link)).when(link == "", base).otherwise(F.concat(folder, link))
+
+
+def next_page(url: Column, html: Column) -> Column:
+    """The address behind "Next page" of an index page; null on the last one."""
+    nav = F.regexp_extract(html, r'(?s)<div[^>]*class="[^"]*mw-allpages-nav[^"]*"[^>]*>(.*?)</div>', 1)
+    link = F.regexp_extract(nav, r'<a[^>]*href="([^"]*)"[^>]*>Next page', 1)
+    return F.when(link != "", joined_url(url, F.replace(link, F.lit("&amp;"), F.lit("&"))))
+
+
 def json_definitions(reply: Column) -> Column:
     """The items of the JSON array within a reply, those with word and definition; null if it cannot be read."""
     found = F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), "array<struct<word:string,definition:string>>")

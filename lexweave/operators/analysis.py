@@ -28,6 +28,14 @@ def level_confusion(index: DataFrame) -> DataFrame:
     return common_partners(index).groupBy("corpus", "idx_a", "idx_b", "level_a", "level_b").agg(F.count("*").alias("n"))
 
 
+def square_confusion(confusion: DataFrame) -> DataFrame:
+    """confusion with every combination of the pair's levels, 0 where there is none: its levels are few, so its matrix is, too."""
+    keys = ["corpus", "idx_a", "idx_b"]
+    levels = confusion.groupBy(*keys).agg(F.array_union(F.collect_set("level_a"), F.collect_set("level_b")).alias("levels"))
+    cells = levels.select(*keys, "levels", F.explode("levels").alias("level_a")).select(*keys, "level_a", F.explode("levels").alias("level_b"))
+    return cells.join(confusion, [*keys, "level_a", "level_b"], "left").select(*keys, "level_a", "level_b", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def agreement(index: DataFrame) -> DataFrame:
     """By pair and level of the earlier word: common partners, those at the same level of the later word, and their share; the pair's own level, -1 if none."""
     per = common_partners(index).groupBy("corpus", "idx_a", "idx_b", "level_a").agg(F.count("*").alias("total"), F.sum((F.col("level_a") == F.col("level_b")).cast("long")).alias("matching"))

@@ -3,7 +3,7 @@
 With W_m(s, w) the walks of length m from seed s to w and d(o, w) the other seed's distance (far if unreachable):
 the termination level is the least over sides and m of max(m, 1, max of d over the support of level m); the score sums m * W_m over
 words with d beyond it, up to that level; beyond the convergence depth plus one the pair is not terminated (-1).
-Walks and distances depend on one seed, so they are computed once for each word and joined to the pairs.
+Scores are taken tile by tile (tiles.py); the trace of a pair joins walks and distances of its two words.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import COUNT, depth, distances, edges_of, walks
+from .graph import depth, distances, edges_of, walks
+from .tiles import pair_scores, same_word_scores
 from ..tables import written
 
-FAR = 1_000_000
-
 
 def vocabulary(lexicon: DataFrame) -> DataFrame:
     return lexicon.select("corpus", "idx", "head")
@@ -37,43 +36,10 @@ def single_god(lexicon: DataFrame) -> DataFrame:
     return god.join(vocabulary(lexicon), (god["corpus"] == lexicon["corpus"]) & (god["seed"] == lexicon["head"])).select(god["corpus"], "idx", "god")
 
 
-def pair_god(pairs: DataFrame, dist: DataFrame) -> DataFrame:
-    """Convergence depth from both words of a pair at once."""
-    keys = ["corpus", "idx1", "idx2"]
-    both = pairs.select(*keys, F.col("a").alias("seed")).unionByName(pairs.select(*keys, F.col("b").alias("seed")))
-    return depth(both.join(dist, ["corpus", "seed"]).groupBy(*keys, "w").agg(F.min("d").alias("d")), keys)
-
-
-def _settle(grid: DataFrame, god: DataFrame, keys: list[str], first_level: int) -> DataFrame:
-    """sod, tl, god from (keys, side, lvl, od, cnt): walk counts by level and other side's distance."""
-    support = grid.where(F.col("lvl") >= first_level).groupBy(*keys, "side", "lvl").agg(F.max("od").alias("od"))
-    ends = support.groupBy(*keys).agg(F.min(F.greatest("lvl", F.lit(1), "od")).alias("tl"))
-    left = (F.col("lvl") <= F.col("tl")) & (F.col("od") > F.col("tl"))
-    scored = grid.join(ends, keys).groupBy(*keys, "tl").agg(F.sum(F.when(left, F.col("cnt") * F.col("lvl").cast("decimal(9,0)")).otherwise(F.lit(0)).cast(COUNT)).alias("score"))
-    ended = F.col("tl") <= F.col("god") + 1
-    return scored.join(god, keys).select(*keys, F.when(ended, F.col("score")).otherwise(F.lit(-1)).cast("long").alias("sod"), F.when(ended, F.col("tl")).otherwise(F.col("god") + 1).cast("int").alias("tl"), "god")
-
-
-def _grid(sides: DataFrame, counts: DataFrame, dist: DataFrame, keys: list[str]) -> DataFrame:
-    """sides (keys, side, own, self, against, other) to counts by level and distance."""
-    own = counts.select(F.col("corpus").alias("own"), F.col("seed").alias("self"), "lvl", "w", "cnt")
-    far = dist.select(F.col("corpus").alias("against"), F.col("seed").alias("other"), "w", F.col("d").alias("od"))
-    reached = sides.join(own, ["own", "self"]).join(far, ["against", "other", "w"], "left")
-    return reached.groupBy(*keys, "side", "lvl", F.coalesce("od", F.lit(FAR)).alias("od")).agg(F.sum("cnt").cast(COUNT).alias("cnt"))
-
-
 def sod_pairs(lexicon: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(corpus, idx1, idx2, sod, tl, god) of all pairs, or of the given ones."""
-    lexicon = written(lexicon, "lexicon")
-    pairs = word_pairs(lexicon) if pairs is None else pairs
-    edges, seeds = written(edges_of(lexicon), "edges"), seeds_of(lexicon)
-    dist = written(distances(seeds, edges), "dist")
-    levels = (dist.agg(F.max("d")).first()[0] or 0) + 2
-    counts = written(walks(seeds, edges, min(levels, 101)), "walks")
-    keys = ["corpus", "idx1", "idx2"]
-    side = lambda n, x, y: pairs.select(*keys, F.lit(n).alias("side"), F.col("corpus").alias("own"), F.col(x).alias("self"), F.col("corpus").alias("against"), F.col(y).alias("other"))
-    grid = written(_grid(side(1, "a", "b").unionByName(side(2, "b", "a")), counts, dist, keys), "grid")
-    return _settle(grid, pair_god(pairs, dist), keys, 0)
+    """(corpus, idx1, idx2, sod, tl, god) of all pairs, or of the given few."""
+    few = None if pairs is None else pairs.select("corpus", F.col("idx1").cast("int").alias("idx1"), F.col("idx2").cast("int").alias("idx2"))
+    return pair_scores(written(lexicon.select("corpus", F.col("idx").cast("int").alias("idx"), "head", "definition"), "lexicon"), few)
 
 
 def sod_trace(lexicon: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -112,19 +78,12 @@ def eod_god(lexicon: DataFrame, corpora: DataFrame, words: DataFrame) -> DataFra
 def eod(lexicon: DataFrame, corpora: DataFrame, words: DataFrame) -> DataFrame:
     """(master_idx, word, combo, eod_score, eod_tl): the same word in two corpora. Counts do not multiply and level 0 does not end
     the expansion; a word that heads no definition in one of the corpora scores -2."""
-    lexicon = written(lexicon, "lexicon")
-    pairs, edges, seeds = combos(corpora), written(edges_of(lexicon), "edges"), seeds_of(lexicon)
-    god = written(eod_god(lexicon, corpora, words.select("word")), "god")
-    levels = (god.agg(F.max("god")).first()[0] or 0) + 1
-    dist, counts = written(distances(seeds, edges), "dist"), written(walks(seeds, edges, levels, multiply=False), "walks")
-    every = words.crossJoin(pairs)
-    has = seeds.select(F.col("corpus"), F.col("seed").alias("word"))
-    known = every.join(has.withColumnRenamed("corpus", "a"), ["a", "word"]).join(has.withColumnRenamed("corpus", "b"), ["b", "word"])
-    side = lambda n, x, y: known.select("combo", "word", F.lit(n).alias("side"), F.col(x).alias("own"), F.col("word").alias("self"), F.col(y).alias("against"), F.col("word").alias("other"))
-    keys = ["combo", "word"]
-    grid = written(_grid(side(1, "a", "b").unionByName(side(2, "b", "a")), counts, dist, keys), "grid")
-    settled = _settle(grid, god, keys, 1)
-    return every.join(settled, keys, "left").select("master_idx", "word", "combo", F.coalesce("sod", F.lit(-2)).alias("eod_score"), F.coalesce("tl", F.lit(-2)).alias("eod_tl"))
+    lexicon = written(lexicon.select("corpus", F.col("idx").cast("int").alias("idx"), "head", "definition"), "lexicon")
+    pairs = combos(corpora)
+    scored = same_word_scores(lexicon, pairs, words)
+    every = words.crossJoin(pairs)  # each word in each of a few combinations
+    missing = F.lit(-2)
+    return every.join(scored, ["combo", "word"], "left").select("master_idx", "word", "combo", F.coalesce("sod", missing).alias("eod_score"), F.coalesce("tl", missing).alias("eod_tl"))
 
 
 def eod_wide(table: DataFrame, names: list[str]) -> DataFrame:

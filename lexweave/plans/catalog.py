@@ -11,6 +11,7 @@ from ..functions import text
 from ..operators import analysis, compare, curate, dynamics, index, score
 from ..sources import lexicon as source
 from . import fixtures as fx
+from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,14 +61,30 @@ def self_contained(spark, sf):
     return _definition(fx.lexicons(spark, sf))
 
 
-@query(f"SELECT corpus, tok, count(*) AS n FROM (SELECT * FROM t0 EXCEPT ALL SELECT * FROM t{fx.ROUNDS}) GROUP BY corpus, tok")
+def _close(first: str, name: str, rounds: int = 10) -> str:
+    return ", ".join([f"{name}0 AS MATERIALIZED ({first})", *(f"{name}{k} AS MATERIALIZED (SELECT * FROM {name}{k - 1} x WHERE EXISTS (SELECT 1 FROM {name}{k - 1} y WHERE y.corpus = x.corpus AND y.head = x.tok))" for k in range(1, rounds + 1))])
+
+
+def _md5(*parts: str) -> str:
+    return f"CAST(('0x' || substr(md5({' || chr(124) || '.join(parts)}), 1, 8)) AS BIGINT)"
+
+
+#: The raw lexicons less the entries of a third of the words, which stay as tokens, so that there is something to clean.
+_OPENED = _close(f"SELECT * FROM t0 WHERE {_md5(chr(39) + '42' + chr(39), chr(39) + 'open' + chr(39), 'head')} * 3 >= 4294967296", "d", 25)
+
+
+def _opened(spark, sf):
+    return fx.raw(spark, sf).where(curate.chance(F.lit("42"), F.lit("open"), "head") * 3 >= 2**32)
+
+
+@query("SELECT corpus, tok, count(*) AS n FROM (SELECT * FROM d0 EXCEPT ALL SELECT * FROM d25) GROUP BY corpus, tok", raw=True, ctes=_OPENED)
 def dangling_counts(spark, sf):
-    return curate.dangling_counts(fx.raw(spark, sf))
+    return curate.dangling_counts(_opened(spark, sf))
 
 
-@query("SELECT DISTINCT corpus, head FROM t0 EXCEPT SELECT corpus, head FROM vocab")
+@query("SELECT DISTINCT corpus, head FROM d0 EXCEPT SELECT corpus, head FROM d25", raw=True, ctes=_OPENED)
 def removed_headwords(spark, sf):
-    return curate.removed_headwords(fx.raw(spark, sf))
+    return curate.removed_headwords(_opened(spark, sf))
 
 
 _COMMON = "common AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY head) - 1 AS INTEGER) AS master_idx, head AS word FROM vocab GROUP BY head HAVING count(DISTINCT corpus) = 6)"
@@ -113,10 +130,6 @@ def targeted_removal(spark, sf):
     return _definition(curate.targeted_removal(fx.lexicons(spark, sf), 3))
 
 
-def _close(first: str, name: str, rounds: int = 10) -> str:
-    return ", ".join([f"{name}0 AS MATERIALIZED ({first})", *(f"{name}{k} AS MATERIALIZED (SELECT * FROM {name}{k - 1} x WHERE EXISTS (SELECT 1 FROM {name}{k - 1} y WHERE y.corpus = x.corpus AND y.head = x.tok))" for k in range(1, rounds + 1))])
-
-
 _SHARE = "greatest(1, (SELECT count(*) * 10 // 100 FROM vocab v WHERE v.corpus = l.corpus))"
 
 
@@ -125,10 +138,6 @@ def targeted_pct_removal(spark, sf):
     return _definition(curate.targeted_pct_removal(fx.lexicons(spark, sf), 10))
 
 
-def _md5(*parts: str) -> str:
-    return f"CAST(('0x' || substr(md5({' || chr(124) || '.join(parts)}), 1, 8)) AS BIGINT)"
-
-
 @query(
     f"SELECT corpus, {_DEFINED.format(idx='idx')} FROM lex JOIN (SELECT corpus, head, count(*) AS n FROM lex GROUP BY ALL) USING (corpus, head) WHERE NOT (n > 1 AND {_md5(chr(39) + '42' + chr(39), chr(39) + 'hit' + chr(39), 'head')} * 100 < 20 * 4294967296 AND pos = {_md5(chr(39) + '42' + chr(39), chr(39) + 'at' + chr(39), 'head')} % n) GROUP BY corpus, idx, head"
 )
@@ -272,6 +281,22 @@ def agreement(spark, sf):
     return analysis.agreement(_sym(spark, sf))
 
 
+@query(
+    """SELECT c.corpus, c.idx_a, c.idx_b, c.level_a, c.level_b, coalesce(n, 0) AS n FROM (SELECT DISTINCT x.corpus, x.idx_a, x.idx_b, x.l AS level_a, y.l AS level_b FROM lv x JOIN lv y USING (corpus, idx_a, idx_b)) c
+  LEFT JOIN (SELECT corpus, idx_a, idx_b, level_a, level_b, count(*) AS n FROM cp GROUP BY ALL) g USING (corpus, idx_a, idx_b, level_a, level_b)""",
+    True,
+    ctes=f"{_WEDGE}, lv AS MATERIALIZED (SELECT corpus, idx_a, idx_b, level_a AS l FROM cp UNION SELECT corpus, idx_a, idx_b, level_b FROM cp)",
+)
+def square_confusion(spark, sf):
+    return analysis.square_confusion(analysis.level_confusion(_sym(spark, sf)))
+
+
+@query("SELECT corpus, idx_a, idx_b, mutual_tl, level_a, total, matching FROM ag", True, ctes=_WEDGE)
+def agreement_report(spark, sf):
+    """Agreement written as report lines and scanned back."""
+    return reports.scan_agreement(reports.agreement_lines(_agreed(spark, sf)))
+
+
 @query("SELECT corpus, mutual_tl, level_a, CAST(sum(total) AS BIGINT) AS total, CAST(sum(matching) AS BIGINT) AS matching, round(CAST(100 AS DOUBLE) * sum(matching) / sum(total), 6) AS avg_pct FROM ag WHERE mutual_tl >= 0 GROUP BY ALL", True, ctes=_WEDGE)
 def agreement_summary(spark, sf):
     return analysis.agreement_summary(_agreed(spark, sf))
@@ -318,6 +343,14 @@ def eod(spark, sf):
     return _eod(spark, sf)
 
 
+_NAMES_OF_COMBOS = [f"{a}_vs_{b}" for k, a in enumerate(fx.CORPORA) for b in fx.CORPORA[k + 1 :]]
+
+
+@query("SELECT master_idx, word, " + ", ".join(f"max({c}) FILTER (combo = '{n}') AS {c}_{n}" for n in _NAMES_OF_COMBOS for c in ("eod_score", "eod_tl")) + " FROM eods GROUP BY master_idx, word", True, ctes=_EOD)
+def eod_wide(spark, sf):
+    return reports.eod_columns(score.eod_wide(_eod(spark, sf), _NAMES_OF_COMBOS), _NAMES_OF_COMBOS)
+
+
 @query("SELECT combo, count(*) AS n, round(avg(eod_score), 6) AS mean_score, round(median(eod_score), 6) AS median_score, round(avg(eod_tl), 6) AS mean_tl, round(median(eod_tl), 6) AS median_tl FROM eods WHERE eod_score > -1 GROUP BY combo", True, ctes=_EOD)
 def eod_summary(spark, sf):
     return compare.eod_summary(_eod(spark, sf))
@@ -475,28 +508,74 @@ def page_links(spark, sf):
     return text.page_links(spark.read.parquet(f"{sf}/pages.parquet").select("html"))
 
 
-_DEF = """d AS (SELECT page_id, CASE WHEN regexp_matches(html, '(?s)<span class="dtText">.*?</span>') THEN trim(regexp_replace(trim(replace(replace(regexp_replace(regexp_extract(html, '(?s)<span class="dtText">(.*?)</span>', 1), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&')), '^:\\s*', ''))
-  WHEN regexp_matches(html, '<meta name="description" content="[^"]*"') THEN split_part(regexp_replace(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1), '(?s)^.*? is ', ''), '. How to use', 1) END AS definition, html FROM pages)"""
+#: Entry pages made of the benchmark's texts: definition spans, page descriptions, neither; with and without markers of categories.
+_ENTRIES = """pg AS (SELECT item_id AS page_id, CASE WHEN item_id % 7 = 6 THEN 'two words' ELSE 'word' END AS entry,
+  '<title>x</title>' || CASE item_id % 5 WHEN 0 THEN '<i id="toc-Noun"></i>' WHEN 1 THEN '<a title="number"></a><i id="toc-Noun"></i>' WHEN 2 THEN '<a href="/wiki/Category:Proper_nouns"></a><i id="toc-Noun"></i>' WHEN 3 THEN '<a>Category:Verbs</a>' ELSE '' END
+  || CASE item_id % 4 WHEN 0 THEN '<span class="dtText"><strong>: </strong>' || text || '&nbsp;&amp; <b>more</b></span>'
+    WHEN 1 THEN '<meta name="description" content="The meaning of WORD is ' || text || '. How to use it.">' WHEN 2 THEN '<p>' || text || '</p>'
+    ELSE '<span class="dtText">: a suffix of ' || text || '</span>' END AS html FROM benchmark),
+d AS (SELECT page_id, entry, CASE WHEN regexp_matches(html, '(?s)<span class="dtText">.*?</span>') THEN trim(regexp_replace(trim(replace(replace(regexp_replace(regexp_extract(html, '(?s)<span class="dtText">(.*?)</span>', 1), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&')), '^:\\s*', ''))
+  WHEN regexp_matches(html, '<meta name="description" content="[^"]*"') THEN split_part(regexp_replace(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1), '(?s)^.*? is ', ''), '. How to use', 1) END AS definition, html FROM pg)"""
+
 
+def _entries(spark, sf):
+    k, words, lit = F.col("item_id"), F.col("text"), F.lit
+    noun = '<i id="toc-Noun"></i>'
+    marks = F.when(k % 5 == 0, noun).when(k % 5 == 1, f'<a title="number"></a>{noun}').when(k % 5 == 2, f'<a href="/wiki/Category:Proper_nouns"></a>{noun}')
+    marks = marks.when(k % 5 == 3, "<a>Category:Verbs</a>").otherwise("")
+    body = F.when(k % 4 == 0, F.concat(lit('<span class="dtText"><strong>: </strong>'), words, lit("&nbsp;&amp; <b>more</b></span>")))
+    body = body.when(k % 4 == 1, F.concat(lit('<meta name="description" content="The meaning of WORD is '), words, lit('. How to use it.">')))
+    body = body.when(k % 4 == 2, F.concat(lit("<p>"), words, lit("</p>"))).otherwise(F.concat(lit('<span class="dtText">: a suffix of '), words, lit("</span>")))
+    entry = F.when(k % 7 == 6, "two words").otherwise("word")
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(k.alias("page_id"), entry.alias("entry"), F.concat(lit("<title>x</title>"), marks, body).alias("html"))
 
-@query("SELECT page_id, definition FROM d", closed=False, ctes=_DEF)
+
+@query("SELECT page_id, definition FROM d", closed=False, ctes=_ENTRIES)
 def html_definition(spark, sf):
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", text.html_definition(F.col("html")).alias("definition"))
+    return _entries(spark, sf).select("page_id", text.html_definition(F.col("html")).alias("definition"))
 
 
 def _like(column: str, needles: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{n}')" for n in needles) + ")"
 
 
+_REASON = f"""CASE WHEN NOT regexp_full_match(entry, '[a-z]+') THEN 'invalid_format'
+  WHEN {_like('lower(html)', text.NUMBER_MARKERS)} OR {_like('lower(html)', text.PROPER_MARKERS)} OR NOT {_like('lower(html)', text.ALLOWED_MARKERS)} THEN 'not_allowed_category'
+  WHEN coalesce(definition, '') = '' THEN 'empty_definition' WHEN regexp_matches(lower(definition), '\\bsuffix\\b') THEN 'is_suffix' ELSE 'success' END"""
+
+
+@query(f"SELECT reason, count(*) AS n FROM (SELECT {_REASON} AS reason FROM d) GROUP BY reason", closed=False, ctes=_ENTRIES)
+def entry_reasons(spark, sf):
+    """Reasons by which entries are kept or left out."""
+    reason = text.entry_reason(F.col("entry"), F.col("html"), text.html_definition(F.col("html")))
+    return _entries(spark, sf).select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query(
-    f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT regexp_full_match(lower(label), '[a-z]+') THEN 'invalid_format' WHEN {_like('lower(html)', text.NUMBER_MARKERS)} OR {_like('lower(html)', text.PROPER_MARKERS)} OR NOT {_like('lower(html)', text.ALLOWED_MARKERS)} THEN 'not_allowed_category' WHEN coalesce(definition, '') = '' THEN 'empty_definition' WHEN regexp_matches(lower(definition), '\\bsuffix\\b') THEN 'is_suffix' ELSE 'success' END AS reason FROM (SELECT regexp_extract(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1) AS label, html, definition FROM d)) GROUP BY reason",
+    "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'word' ELSE split_part(text, ' ', 1) END AS form, 'x ' || split_part(text, ' ', 2) || ' y ' || split_part(text, ' ', 3) AS formula FROM benchmark",
     closed=False,
-    ctes=_DEF,
 )
-def entry_reasons(spark, sf):
-    """Reasons by which the pages' first links would be kept or left out as entries."""
-    rows = spark.read.parquet(f"{sf}/pages.parquet").select("html", F.lower(F.regexp_extract("html", r'<li><a href="[^"]*">([^<]*)</a></li>', 1)).alias("entry"))
-    return rows.select(text.entry_reason(F.col("entry"), F.col("html"), text.html_definition(F.col("html"))).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+def entry_texts(spark, sf):
+    """Forms that entries point to, and formulas as text."""
+    k, words = F.col("item_id"), F.split("text", " ")
+    form = F.when(k % 3 == 0, F.lit("what?")).otherwise(words[0])
+    page = F.concat(F.lit("<p><i>no</i></p><ol><li>past tense of (see <i>no</i>) <i>which?</i> <i class='m'><b>"), form, F.lit("</b></i><dl><i>no</i></dl></li></ol>"))
+    span = '<span class="mwe-math-mathml-inline mwe-math"><math>no</math></span>'
+    image = '<img alt="{alt}" class="mwe-math-fallback-image-inline" src="x">'
+    plain = '<img class="mwe-math-fallback-image-inline" alt="{alt}">'
+    before, after = image.split("{alt}"), plain.split("{alt}")
+    formula = F.concat(F.lit(f"x {span}{before[0]}{{\\displaystyle "), words[1], F.lit(f"}}{before[1]} y {after[0]}"), words[2], F.lit(after[1]))
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return rows.select("item_id", text.final_form(F.lit("word"), page).alias("form"), text.without_math(formula).alias("formula"))
+
+
+@query("SELECT c_custkey AS custkey, 'http://a.b/w/' || replace(replace(c_name, '#', '%23'), ' ', '%20') || '%2F~%2A' AS url, 'http://a.b/w/i?from=' || c_custkey || '&x' AS following FROM customer", closed=False)
+def page_urls(spark, sf):
+    """Addresses of words, and of the pages that follow index pages."""
+    name = text.quoted(F.concat("c_name", F.lit("/~*")))
+    nav = F.concat(F.lit('<div class="n mw-allpages-nav"><a href="p">Previous page</a> | <a href="/w/i?from='), F.col("c_custkey").cast("string"), F.lit('&amp;x" title="t">Next page (b)</a></div>'))
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    return rows.select(F.col("c_custkey").alias("custkey"), text.joined_url(F.lit("http://a.b/w/x?y"), name).alias("url"), text.next_page(F.lit("http://a.b/w/i?from=0"), nav).alias("following"))
 
 
 @query("SELECT item_id, 'w' || item_id AS word, text AS definition FROM benchmark", closed=False)
@@ -541,8 +620,8 @@ def batches(spark, sf):
     return text.batches(_assigned(spark, sf))
 
 
-@query("SELECT c_custkey AS custkey, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)", closed=False)
+@query("SELECT c_custkey AS custkey, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')", closed=False)
 def resume_todo(spark, sf):
-    """Customers that no order has touched yet."""
+    """Customers that no urgent order has touched yet."""
     work = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"))
-    return source.resume_todo(work, spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("custkey")), "custkey")
+    return source.resume_todo(work, spark.read.parquet(f"{sf}/orders.parquet").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("custkey")), "custkey")

@@ -45,7 +45,7 @@ class Workspace:
         return self.keep("pairs", lambda: score.sod_pairs(self.table("lexicon")), "corpus")
 
     def run_analysis(self) -> tuple[DataFrame, DataFrame]:
-        pairs = self.keep("pair_index", lambda: index.pair_index(self.run_od()), "corpus")
+        pairs = self.keep("pair_index", lambda: index.pair_index(self.run_od()).repartitionByRange("corpus", "w").sortWithinPartitions("corpus", "w"), "corpus")
         return self.keep("agreement", lambda: analysis.agreement(pairs)), self.keep("semantic_difference", lambda: analysis.semantic_difference(pairs))
 
     def run_eod(self, corpora: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,3 +72,14 @@ class Workspace:
         if score.sod_pairs(lexicon, pairs).where("sod = -1 OR tl <= 0").count():
             raise ValueError(f"{a} and {b} do not terminate")
         return score.sod_trace(lexicon, F.col("a").isin(a, b), F.col("b").isin(a, b))
+
+    def check_eod(self, word: str) -> DataFrame:
+        """The word's score and level in every combination; raises if some combination has none although both corpora define it."""
+        rows = self.table("eod").where(F.col("word") == word)
+        if rows.where("eod_score = -1 OR eod_tl <= 0").where("eod_score <> -2").count():
+            raise ValueError(f"{word} does not terminate")
+        return rows
+
+    def partners(self, corpus: str, w: int) -> DataFrame:
+        """The index rows of one word. Files are by corpus and sorted by word, so others are skipped by their bounds."""
+        return self.table("pair_index").where((F.col("corpus") == corpus) & (F.col("w") == w))
