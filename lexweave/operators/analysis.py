@@ -1,22 +1,12 @@
-"""Level coincidence and semantic difference of word pairs over their common partners.
-
-Both are joins of the index with itself on the partner. Matches of a level need only rows with equal level, so that join carries
-the level in its key; totals come from counts by word and level, without a triple join, where the index is complete."""
+"""Level coincidence and semantic difference of word pairs over their common partners, by tiles of words (partners.py)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-def _sides(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(index.select("corpus", "partner", F.col("w").alias(f"idx_{s}"), F.col("sod").alias(f"sod_{s}"), F.col("tl").alias(f"level_{s}")) for s in "ab")
-
-
-def common_partners(index: DataFrame) -> DataFrame:
-    """(corpus, idx_a, idx_b, partner, scores and levels of both), idx_a < idx_b."""
-    a, b = _sides(index)
-    return a.join(b, ["corpus", "partner"]).where("idx_a < idx_b")
+from .partners import by_tiles, confusion, differences, matches
 
 
 def _mutual(index: DataFrame) -> DataFrame:
@@ -25,7 +15,8 @@ def _mutual(index: DataFrame) -> DataFrame:
 
 def level_confusion(index: DataFrame) -> DataFrame:
     """How often partners at level_a of the earlier word are at level_b of the later one."""
-    return common_partners(index).groupBy("corpus", "idx_a", "idx_b", "level_a", "level_b").agg(F.count("*").alias("n"))
+    fields = [T.StructField("level_a", T.IntegerType()), T.StructField("level_b", T.IntegerType()), T.StructField("n", T.LongType())]
+    return by_tiles(index, confusion, fields)
 
 
 def square_confusion(confusion: DataFrame) -> DataFrame:
@@ -38,7 +29,8 @@ def square_confusion(confusion: DataFrame) -> DataFrame:
 
 def agreement(index: DataFrame) -> DataFrame:
     """By pair and level of the earlier word: common partners, those at the same level of the later word, and their share; the pair's own level, -1 if none."""
-    per = common_partners(index).groupBy("corpus", "idx_a", "idx_b", "level_a").agg(F.count("*").alias("total"), F.sum((F.col("level_a") == F.col("level_b")).cast("long")).alias("matching"))
+    fields = [T.StructField("level_a", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("matching", T.LongType())]
+    per = by_tiles(index, matches, fields)
     return per.join(_mutual(index), ["corpus", "idx_a", "idx_b"], "left").select("corpus", "idx_a", "idx_b", F.coalesce("mutual_tl", F.lit(-1)).alias("mutual_tl"), "level_a", "total", "matching", F.round(100.0 * F.col("matching") / F.col("total"), 6).alias("pct"))
 
 
@@ -50,7 +42,7 @@ def agreement_summary(agreed: DataFrame) -> DataFrame:
 
 def semantic_difference(index: DataFrame) -> DataFrame:
     """For each pair in the index: mean difference of log scores and of levels over common partners, 0 if there are none."""
-    diff = common_partners(index).groupBy("corpus", "idx_a", "idx_b").agg(F.avg(F.abs(F.log1p("sod_a") - F.log1p("sod_b"))).alias("s"), F.avg(F.abs(F.col("level_a") - F.col("level_b"))).alias("t"))
+    diff = by_tiles(index, differences, [T.StructField(c, T.DoubleType()) for c in "st"])
     pairs = _mutual(index).where("idx_a < idx_b").withColumnRenamed("mutual_tl", "mutual_sod_level")
     return pairs.join(diff, ["corpus", "idx_a", "idx_b"], "left").select("corpus", "idx_a", "idx_b", "mutual_sod_level", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("avg_sod_diff"), F.round(F.coalesce("t", F.lit(0.0)), 6).alias("avg_sod_term_diff"))
 
