@@ -23,9 +23,9 @@ def parse_lexicon(lines: DataFrame) -> DataFrame:
 
 
 def read_lexicon(spark: SparkSession, path: str, corpus: str) -> DataFrame:
-    """A lexicon file. Line order comes from the file's own row position, so it survives any partitioning of one file."""
-    text = spark.read.text(path).select(F.lit(corpus).alias("corpus"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-    return parse_lexicon(text.select("corpus", "line_no", "line"))
+    """A lexicon of one text file or several. Lines are in order of file name, place of the split and place in it."""
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("line_no")
+    return parse_lexicon(spark.read.text(path).select(F.lit(corpus).alias("corpus"), order, F.col("value").alias("line")))
 
 
 def lexicon_lines(lexicon: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def lexicon_lines(lexicon: DataFrame) -> DataFrame:
 
 
 def write_lexicon(lexicon: DataFrame, path: str) -> None:
-    """One text file in index order."""
-    lexicon_lines(lexicon).orderBy("corpus", "idx").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """Text in index order; the files' names keep the order where the sort makes several."""
+    lexicon_lines(lexicon).orderBy("corpus", "idx").select("line").write.mode("overwrite").text(path)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:

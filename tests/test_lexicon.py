@@ -8,12 +8,13 @@ from collections import Counter
 from unittest.mock import MagicMock
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions import text
-from lexweave.operators import curate, dynamics, index, score
-from lexweave.plans import catalog
+from lexweave.operators import analysis, curate, dynamics, index, partners, score, tiles
+from lexweave.plans import catalog, reports
 from lexweave.plans.pipeline import Workspace
 from lexweave.sources import lexicon as source
 
@@ -191,3 +192,57 @@ def test_query_equals_sql(spark, duck, name):
     order = sorted(got.columns)
     plain = lambda rows: sorted(tuple("" if v is None or v != v else str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in rows)
     assert plain(got.select(order).collect()) == plain(want[order].astype(object).where(want[order].notna(), None).itertuples(index=False, name=None))
+
+
+def test_tiles_of_any_size_give_the_same_scores(spark, monkeypatch):
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(23)]
+    lexicon = {"x": {w: r.choices(words, k=r.randint(1, 4)) for w in words}}
+    whole = sorted(map(tuple, score.sod_pairs(frame(spark, lexicon)).collect()))
+    monkeypatch.setattr(tiles, "SIDE", 5)
+    assert sorted(map(tuple, score.sod_pairs(frame(spark, lexicon)).collect())) == whole and len(whole) == 23 * 22 // 2
+    some = spark.createDataFrame([x[:3] for x in whole[::7]], "corpus string, idx1 int, idx2 int")
+    assert sorted(map(tuple, score.sod_pairs(frame(spark, lexicon), some).collect())) == whole[::7]
+
+
+def test_scores_beyond_floating_point_stay_exact():
+    # a chain that multiplies walks by 2 ** 12 a step, against a lone word that loops
+    names = {w: k for k, w in enumerate("abcdefg")}
+    chain = [(x, [y] * 4096) for x, y in zip("abcde", "bcdef", strict=True)] + [("f", ["f"]), ("g", ["g"])]
+    graph = tiles.Graph(names, chain)
+    one, two = np.array([0]), np.array([5])
+    assert [x.tolist() for x in tiles.tile(graph, one, two)] == [x.tolist() for x in tiles.tile(graph, one, two, object)]
+    graph = tiles.Graph(names, [*chain[:-1], ("g", ["a"])])
+    assert tiles.tile(graph, np.array([6]), two)[0].tolist() == tiles.tile(graph, np.array([6]), two, object)[0].tolist()
+
+
+def test_common_partners_by_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(partners, "SIDE", 3)
+    r = random.Random(6)
+    tl = {(a, b): r.randint(0, 3) for a in range(1, 12) for b in range(1, 12) if a < b and r.random() < 0.8}
+    rows = [("x", w, p, 10 * w * p, t) for (a, b), t in tl.items() for w, p in ((a, b), (b, a))]
+    found = spark.createDataFrame(rows, "corpus string, w int, partner int, sod long, tl int")
+    level, want = {(w, p): t for _, w, p, _, t in rows}, {}
+    for a in range(1, 12):
+        for b in range(a + 1, 12):
+            for p in range(1, 12):
+                if (a, p) in level and (b, p) in level:
+                    key = (a, b, level[a, p], level[b, p])
+                    want[key] = want.get(key, 0) + 1
+    got = analysis.level_confusion(found)
+    assert {(x.idx_a, x.idx_b, x.level_a, x.level_b): x.n for x in got.collect()} == want
+    agreed = {(x.idx_a, x.idx_b, x.level_a): (x.total, x.matching) for x in analysis.agreement(found).collect()}
+    for (a, b, la), (total, matching) in agreed.items():
+        assert total == sum(n for (x, y, l, _), n in want.items() if (x, y, l) == (a, b, la)) and matching == want.get((a, b, la, la), 0)
+    assert analysis.agreement(found.where("false")).count() == 0
+
+
+def test_eod_file_and_report(spark, tmp_path):
+    table = spark.createDataFrame([(0, "a", "x_vs_y", 5, 1), (0, "a", "x_vs_z", -2, -2)], "master_idx int, word string, combo string, eod_score long, eod_tl int")
+    reports.write_eod(table, ["x_vs_y", "x_vs_z"], f"{tmp_path}/eod")
+    back = spark.read.csv(f"{tmp_path}/eod", header=True)
+    assert back.columns == ["master_idx", "word", "eod_score_x_vs_y", "eod_tl_x_vs_y", "eod_score_x_vs_z", "eod_tl_x_vs_z"] and back.first()[2] == "5"
+    lines = spark.createDataFrame([("f", k, x) for k, x in enumerate(["Mutual Termination Level: -1", "--- Agreement Analysis Results ---", "head", "2 10 4 40.00", "bad", "-" * 34, "3 1 1", "Mutual Termination Level: 5", "--- Agreement Analysis Results ---", "1 2 0"])], "file string, line_no int, line string")
+    got = reports.scan_agreement(lines, ("file",)).collect()
+    assert sorted((x.mutual_tl, x.level_a, x.total, x.matching) for x in got) == [(-1, 2, 10, 4), (5, 1, 2, 0)]
+    assert reports.titled("mean_sod_diff") == "Mean Sod Diff"
