@@ -206,6 +206,20 @@ def test_b_bit_estimate_follows_similarity(spark):
     assert np.abs(np.array(got) - true).max() < 0.22
 
 
+def test_near_duplicates_with_a_shared_passage(spark):
+    # A third of the documents share a passage of most of their words, under and over the threshold, beside chains of edits.
+    r, passage = random.Random(3), [f"p{k}" for k in range(80)]
+    texts = {k: " ".join(passage + [f"u{k}x{j}" for j in range(r.choice([2, 8, 11, 13, 20, 30]))]) for k in range(90)}
+    chain = [f"c{k}" for k in range(100)]
+    for k in range(100, 130):
+        chain[r.randrange(100)] = f"e{k}"
+        texts[k] = " ".join(chain)
+    rows = [(k, t) for k, t in texts.items()] + [(None, "p0 p1"), (None, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got if x.doc_id is not None} == brute_components(texts)
+    assert sum(x.doc_id is None and x.component_id is None and x.kept for x in got) == 2
+
+
 def test_set_cells_bound_the_intersection_from_above(spark):
     # x and y hold 6 and 7 shingles, of which two fall into one cell on either side; the exact overlap may reach what the bound allows.
     rows = [(6, [1, 2, 3, 4, 5], 7, [1, 2, 3, 4, 5, 6]), (6, [1, 2, 3, 4, 5, 6], 7, [1, 2, 3, 11, 12, 13, 14]), (6, None, 7, [1]), (4, [1, 2, 3, 4], 4, [1, 2, 3, 9])]
