@@ -37,6 +37,8 @@ ROW, IMAGE_BYTES = 64, 1 << 20
 CODE_LIMIT, MATCH = 12, 24
 #: Bytes of a stream whose bit positions a decoder looks at together.
 CHUNK_BYTES = 1 << 16
+#: Pixels of one step of a walk, at most 60 bits each, so that a step from within a chunk stays in what is read beyond it.
+LEAP = 4
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -88,8 +90,10 @@ class Code:
             self.symbols, self.sizes = np.zeros(1 << self.width, dtype=np.int32), np.zeros(1 << self.width, dtype=np.uint8)
             for symbol, (code, n) in canonical(lengths).items():
                 self.symbols[code :: 1 << n], self.sizes[code :: 1 << n] = symbol, n
-        self.steps = self.sizes.astype(np.int32)
+        self.steps = self.sizes.astype(np.int64)
         self.literal = bool(self.symbols.max() < 256)
+        #: The same for a code of literals and lengths: a length is no step.
+        self.literal_steps = self.steps if self.literal else np.where(self.symbols < 256, self.steps, 0)
 
     def read(self, bits: Bits) -> int:
         if not self.width:
@@ -182,24 +186,28 @@ class Walk:
     def _load(self) -> None:
         bits, (g, r, b, a) = self.bits, self.codes
         self.first = bits.at >> 3
-        raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - self.first, CHUNK_BYTES + 64), self.first)
-        wide = np.zeros(raw.size + 64, dtype=np.uint32)
+        raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - self.first, CHUNK_BYTES + 256), self.first)
+        wide = np.zeros(raw.size + 64, dtype=np.int64)
         wide[: raw.size] = raw
-        wide = wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)
-        self.window = (wide[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
+        wide = wide[:-2] | wide[1:-1] << 8 | wide[2:] << 16
+        self.window = (wide[:, None] >> np.arange(8)).reshape(-1)
         self.limit = 8 * min(raw.size, CHUNK_BYTES)
         self.end = 8 * (len(bits.data) - self.first)
-        here = np.arange(self.window.size, dtype=np.int32)
+        last = self.window.size - 1
+        here = np.arange(self.window.size)
         ahead = here
         for code in (g, r, b, a):
             if code.width:
                 key = self.window if ahead is here else self.window[ahead]
-                ahead = np.minimum(ahead + code.steps[key & np.uint32((1 << code.width) - 1)], self.window.size - 1)
-        if not g.literal:
-            ahead = np.where(g.symbols[self.window & np.uint32((1 << g.width) - 1)] >= 256, here, ahead)
-        self.ahead = ahead
-        two = ahead[ahead]
-        self.leap = memoryview(two[two])
+                ahead = ahead + (code.literal_steps if code is g else code.steps)[key & ((1 << code.width) - 1)]
+                ahead[-64:] = np.minimum(ahead[-64:], last)  # only there can a step of at most 60 bits leave the window
+        if not g.literal and any(code.width for code in (r, b, a)):
+            ahead = np.where(g.symbols[self.window & ((1 << g.width) - 1)] >= 256, here, ahead)
+        #: Places 1, 2, 4, ... LEAP pixels ahead.
+        self.aheads = [ahead]
+        while 1 << len(self.aheads) <= LEAP:
+            self.aheads.append(self.aheads[-1].take(self.aheads[-1]))
+        self.leap = memoryview(self.aheads[-1])
 
     def __call__(self, most: int) -> np.ndarray:
         """Pixels of the run of literals that starts here, at most `most`; the bits' place moves behind it."""
@@ -209,7 +217,7 @@ class Walk:
                 self._load()
             leap, at, limit, places = self.leap, bits.at - 8 * self.first, self.limit, []
             add = places.append
-            for _ in range(-(-left // 4)):  # four pixels at a time
+            for _ in range(-(-left // LEAP)):  # LEAP pixels at a time
                 add(at)
                 step = leap[at]
                 if step == at:
@@ -217,12 +225,13 @@ class Walk:
                 at = step
                 if at >= limit:
                     break
-            four = np.empty((len(places), 4), dtype=np.int32)
-            four[:, 0] = places
-            for k in (1, 2, 3):
-                four[:, k] = self.ahead[four[:, k - 1]]
-            place = four.reshape(-1)
-            after = self.ahead[place]
+            many = np.empty((len(places), LEAP), dtype=np.int64)
+            many[:, 0] = places
+            for k in range(len(self.aheads) - 2, -1, -1):  # those between, by halves
+                half = 1 << k
+                many[:, half :: 2 * half] = self.aheads[k].take(many[:, :: 2 * half])
+            place = many.reshape(-1)
+            after = self.aheads[0].take(place)
             stops = np.flatnonzero(after == place)  # no literal starts there
             n = min(left, int(stops[0]) if stops.size else place.size)
             at = int(after[n - 1]) if n else bits.at - 8 * self.first
@@ -239,7 +248,7 @@ class Walk:
         out = np.zeros(place.size, dtype=np.uint32)
         for code, left in zip(self.codes, (8, 16, 0, 24), strict=True):
             if code.width:
-                k = self.window[place] & np.uint32((1 << code.width) - 1)
+                k = self.window.take(place) & ((1 << code.width) - 1)
                 out |= code.symbols[k].astype(np.uint32) << np.uint32(left)
                 place = place + code.sizes[k]
             else:
@@ -506,8 +515,8 @@ def write_code(w: Writer, lengths: list[int]) -> None:
     w.put(0, 1)
     codes = canonical(inner)
     for n, extra, size in tokens:
-        w.put(*codes[n])
-        w.put(extra, size)
+        code, bits = codes[n]
+        w.put(code | extra << bits, bits + size)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -639,10 +648,13 @@ def _repeats(samples: np.ndarray) -> list[tuple[int, int, int]]:
     hashes = np.zeros(n, dtype=np.uint64)
     for k in range(0, MATCH, 8):
         hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
-    order = np.argsort(hashes, kind="stable")
-    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    # The hash's high bits and the place in one number: a plain sort of these gives equal hashes in order of place.
+    low = np.uint64((1 << n.bit_length()) - 1)
+    keyed = np.sort((hashes * np.uint64(0x9E3779B97F4A7C15)) & ~low | np.arange(n, dtype=np.uint64))
+    same = np.flatnonzero((keyed[1:] ^ keyed[:-1]) <= low)
     if not same.size:
         return []
+    order = (keyed & low).astype(np.int64)
     earlier = np.full(n, -1, dtype=np.int64)
     earlier[order[same + 1]] = order[same]
     places = np.flatnonzero(earlier >= 0)
@@ -758,7 +770,9 @@ def encode_payload(payload: bytes) -> bytes:
     for value, n in ((ROW - 1, 14), (raw.shape[0] - 1, 14), (1, 1), (0, 3), (1, 1)):
         w.put(value, n)
     used = np.flatnonzero(np.bincount(raw.reshape(-1), minlength=256))
-    index = np.searchsorted(used, raw).astype(np.uint8)
+    entry = np.zeros(256, dtype=np.uint8)
+    entry[used] = np.arange(used.size)
+    index = entry[raw]
     pack = 3 if used.size <= 2 else 2 if used.size <= 4 else 1 if used.size <= 16 else 0
     index = np.bitwise_or.reduce(index.reshape(raw.shape[0], -1, 1 << pack) << (np.arange(1 << pack, dtype=np.uint8) * np.uint8(8 >> pack)), axis=2)
     costs = [_cost(index.reshape(-1), 5), *(_cost(_residual(raw, mode).reshape(-1), 0) for mode in (1, 2))]
