@@ -246,3 +246,42 @@ def test_eod_file_and_report(spark, tmp_path):
     got = reports.scan_agreement(lines, ("file",)).collect()
     assert sorted((x.mutual_tl, x.level_a, x.total, x.matching) for x in got) == [(-1, 2, 10, 4), (5, 1, 2, 0)]
     assert reports.titled("mean_sod_diff") == "Mean Sod Diff"
+
+
+#: Queries whose SQL counts walks, and so ends at catalog.DEEPEST levels.
+WALKED = "single_god pair_god sod_pairs one_vs_all pair_index percentile_rank level_confusion agreement agreement_report agreement_summary semantic_difference semantic_difference_summary dynamics_stats dynamics_hist".split()
+
+
+@pytest.fixture(scope="module")
+def ring(tmp_path_factory):
+    """Tables of one lexicon: a ring of 40 words, each linked to the next 20 times and to five others once."""
+    folder, con = tmp_path_factory.mktemp("ring"), duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT i AS p_partkey, 'w ' || i AS p_name FROM range(40) t(i)")
+    con.execute("CREATE TABLE lineitem AS SELECT 'N' AS l_returnflag, h AS l_partkey, (h + step) % 40 AS l_suppkey, h * 1000 + step * 20 + c AS l_orderkey, 1 AS l_linenumber FROM range(40) t(h), range(1, 7) u(step), range(20) v(c) WHERE step = 1 OR c = 0")
+    for t in ("part", "lineitem"):
+        con.execute(f"COPY {t} TO '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", WALKED)
+def test_a_lexicon_deeper_than_its_sql_is_followed_to_its_end(spark, ring, name):
+    folder, con = ring
+    got = catalog.QUERIES[name](spark, folder)
+    order = sorted(got.columns)
+    plain = lambda rows: sorted(tuple(str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in rows)
+    sql = f"SELECT {', '.join(order)} FROM ({catalog.SQL[name]})"
+    deeper = sql.replace(f"lvl < {catalog.DEEPEST}", "lvl < 100")
+    rows = plain(got.select(order).collect())
+    assert rows == plain(con.execute(deeper).fetchall())
+    assert (rows == plain(con.execute(sql).fetchall())) == (catalog.DEEPEST > 40)
+
+
+def test_levels_of_a_ring_match_simulation(spark, ring):
+    lex = {f"w{k}": [f"w{(k + 1) % 40}"] for k in range(40)}
+    assert {r.god for r in catalog.QUERIES["single_god"](spark, ring[0]).collect()} == {reach(["w0"], lex)} == {40}
+    got = {(r.idx1, r.idx2): (r.sod, r.tl, r.god) for r in catalog.QUERIES["sod_pairs"](spark, ring[0]).collect()}
+    for i in range(40):
+        for j in range(i + 1, 40):
+            god = reach([f"w{i}", f"w{j}"], lex)
+            assert got[i + 1, j + 1] == (*expand(f"w{i}", f"w{j}", lex, lex, god), god)
+    assert len(got) == 780 and max(tl for _, tl, _ in got.values()) == 20
